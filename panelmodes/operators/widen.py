@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import repeat
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,13 @@ ENCODERS: dict[str, tuple[T.DataType, Callable[[Any], Any]]] = {
 }
 
 
+def _listed(column: pa.Array) -> list:
+    """Python values of an Arrow column, numbers without nulls by the short way."""
+    if column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 @dataclass(frozen=True)
 class Slot:
     """One column of the wide table: its name, type (a key of ENCODERS) and merger (a key of MERGERS)."""
@@ -95,9 +104,20 @@ def widen(cells: DataFrame, keys: Sequence[str], slot: str, value: str, slots: S
     lowers = [MERGERS[s.merger].lower for s in slots]
     encoders = [ENCODERS[s.kind][1] for s in slots]
 
-    def keyed(row: tuple) -> tuple:
-        at = row[k]
-        return tuple(row[:k]), (at, lifts[at](tuple(row[k + 1 : k + 1 + r]), row[-1]))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["payload"])
+
+    def cells_of(row: tuple) -> Iterator[tuple]:
+        for batch in pa.ipc.open_stream(row[0]):
+            plain = [_listed(c) for c in batch.columns]
+            keyed = zip(*plain[:k])
+            ranked = zip(*plain[k + 1 : k + 1 + r]) if r else repeat(())
+            for key, at, place, v in zip(keyed, plain[k], ranked, plain[-1]):
+                yield key, (at, lifts[at](place, v))
 
     def create(cell: tuple) -> list:
         registers = [None] * n
@@ -124,7 +144,11 @@ def widen(cells: DataFrame, keys: Sequence[str], slot: str, value: str, slots: S
     schema = T.StructType([*(T.StructField(c, typed[c]) for c in keys), *(T.StructField(s.name, ENCODERS[s.kind][0]) for s in slots)])
     rows = cells.where(F.col(slot).between(0, n - 1) & F.col(value).isNotNull()).select(*keys, slot, *rank, value)
     spark = cells.sparkSession
-    wide = rows.rdd.map(keyed).combineByKey(create, absorb, join, numPartitions=partitions or shuffle_width(spark)).map(emit)
+    if rows.isEmpty():
+        return spark.createDataFrame([], schema)
+    # Rows reach the RDD as Arrow batches in one binary cell each, not as one pickled object per row.
+    batches = rows.mapInArrow(pack, "payload binary").rdd
+    wide = batches.flatMap(cells_of).combineByKey(create, absorb, join, numPartitions=partitions or shuffle_width(spark)).map(emit)
     return spark.createDataFrame(wide, schema, verifySchema=False)
 
 
