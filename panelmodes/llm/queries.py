@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmodes.llm import match, similar, visual
-from panelmodes.session import table
+from panelmodes.llm import match, mix, pack, similar, tokens, visual
+from panelmodes.session import cut, table
 
 # The tolerances of problem 3 and what counts as a real ratio.
 TOLERANCES = {"share_grocery": 0.0012, "log_total": 0.008, "mob_logratio": 0.002}
@@ -43,6 +43,32 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_matches(spark, d).select("mo_id", "area_id")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.sized(table(spark, d, "documents"))
+    return pack.pack(cut(sizes), table(spark, d, "pack_limits"))
+
+
+def p7_bins(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).drop("fill")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return pack.packing_report(_packed(spark, d))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokens.sized(table(spark, d, "documents"), keep=("source",))
+    return mix.mix(cut(sizes), table(spark, d, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(*_mix(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.look_alike_pairs(table(spark, d, "documents"))
 
@@ -55,7 +81,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return visual.look_alike_classes(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_members, p3_clusters, p6_found, p6_matches, p9_found, p9_forms, p9_classes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_members, p3_clusters, p6_found, p6_matches, p7_bins, p7_report, p8_mix, p8_shares, p9_found, p9_forms, p9_classes)}
 
 _REAL = "real AS (SELECT feat_id, round(share_grocery, 9) AS a, round(log_total, 9) AS b, round(mob_logratio, 9) AS c FROM features_szfo_v2_final WHERE mob_logratio BETWEEN -2 AND 2 AND NOT isnan(mob_logratio))"
 
