@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelmodes.session import cut
+
 # Letters that look alike, each line Latin (or, where Latin has none, Cyrillic), Cyrillic, Greek; '-' stands for none.
 TWINS = """
 A А Α
@@ -102,22 +104,32 @@ _FIRST, _SPELL, _SCRIPTS = _tables()
 _EARLY = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFB00, 0xFB07), *range(0x2160, 0x2180), 0xB5)}
 # Joiners shape Arabic, Indic and emoji sequences and stay there.
 _JOINERS = re.compile("(?<![؀-࿿☀-➿️\U0001f000-\U0001faff])[‌‍]+")
-_TOKEN = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[̀-ͯ])*")
+_MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
+_TOKEN = re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{_MARKS}])*")
 _TAIL = re.compile("[ \t]+(?=\n|\\Z)")
 _ROMAN = re.compile("(?=.*[IV])[IVX]+")
 
 
-def visible_form(text: str) -> str:
-    """The text reduced to what a reader sees; equal exactly for texts that look the same."""
-    if text.isascii():
-        plain = text
-    else:
-        plain = _JOINERS.sub("", text).translate(_EARLY)
-        plain = unicodedata.normalize("NFD", plain.translate(_DROP))
-    return _TAIL.sub("", plain.replace("\r\n", "\n").replace("\r", "\n").translate(_FIRST))
+_DROP = dict.fromkeys(INVISIBLE)  # before decomposition, so that marks meet their letters
+_PLAIN = {c: t for c, t in _FIRST.items() if t in (" ", "\n", "-")}
+#: Characters outside words that need care; most texts have few of them.
+_RARE = re.compile("[" + "".join(re.escape(chr(c)) for c in (*_EARLY, *_DROP, *_PLAIN, 0x200C, 0x200D, 0x0D) if c not in (0x20, 0x2D)) + "]")
 
 
-_DROP = dict.fromkeys(INVISIBLE)  # before decomposition, so that marks meet their letters
+def _cleaned(text: str) -> str:
+    """Without invisible characters, with one kind of space and line end, and with plain letters for full-width forms and ligatures."""
+    if not text.isascii() and _RARE.search(text):
+        text = _JOINERS.sub("", text).translate(_EARLY).translate(_DROP)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if _RARE.search(text):
+        text = text.translate(_PLAIN)
+    return _TAIL.sub("", text) if "\n" in text or text[-1:] in (" ", "\t") else text
+
+
+def visible_form(text: str) -> str:
+    """The text reduced to what a reader sees; equal exactly for texts that look the same."""
+    return unicodedata.normalize("NFD", _cleaned(text)).translate(_FIRST)
 
 
 def _of_letter(letter: str) -> int:
@@ -149,63 +161,63 @@ def resolved_scripts(token: str) -> tuple[int, int]:
 
 
 class Speller:
-    """Chooses the consistent spelling; keeps what it found out about tokens, up to ``limit`` of them."""
+    """Chooses the consistent spelling; keeps what it found out about words, up to ``limit`` of them."""
 
     def __init__(self, limit: int = 200_000) -> None:
         self.limit, self.known, self.written = limit, {}, {}
 
-    def script(self, token: str) -> int:
-        """The token's script, or 0 if its neighbours have to decide."""
-        got = self.known.get(token)
-        if got is None:
-            left, most = resolved_scripts(token)
-            if left in (LATIN, CYRILLIC, GREEK):
-                got = left
-            elif not left:
-                got = most
-            else:
-                got = LATIN if _ROMAN.fullmatch(token) else -left
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[token] = got
-        return got
-
-    def spelled(self, token: str, script: int) -> str:
-        got = self.written.get((token, script))
-        if got is None:
-            got = unicodedata.normalize("NFC", token.translate(_SPELL[script]))
-            if len(self.written) >= self.limit:
-                self.written.clear()
-            self.written[token, script] = got
+    def word(self, word: str) -> tuple[str, int]:
+        """The word's visible form and its script, or less than 1 (minus the scripts it can have) if its neighbours have to decide."""
+        seen = unicodedata.normalize("NFD", word).translate(_FIRST)
+        left, most = resolved_scripts(seen)
+        if left in (LATIN, CYRILLIC, GREEK):
+            script = left
+        elif not left:
+            script = most
+        else:
+            script = LATIN if _ROMAN.fullmatch(seen) else -left
+        if len(self.known) >= self.limit:
+            self.known.clear()
+        self.known[word] = seen, script
+        return seen, script
+
+    def spelled(self, key: tuple[str, int]) -> str:
+        if len(self.written) >= self.limit:
+            self.written.clear()
+        got = self.written[key] = unicodedata.normalize("NFC", key[0].translate(_SPELL[key[1]]))
         return got
 
     def form(self, text: str) -> str:
         """The one form of all texts that look like ``text``."""
-        seen = visible_form(text)
-        if not seen:
-            return seen
-        found = list(_TOKEN.finditer(seen))
-        if not found:
-            return unicodedata.normalize("NFC", seen)
-        choice = [self.script(m.group()) for m in found]
-        last = 0
-        for i, s in enumerate(choice):  # the nearest decided token before ...
-            if s > 0:
-                last = s
-            elif last and -s & last:
-                choice[i] = last
-        last = 0
-        for i in range(len(choice) - 1, -1, -1):  # ... else after
-            s = choice[i]
-            if s > 0:
-                last = s
-            else:
-                choice[i] = last if last and -s & last else (LATIN if -s & LATIN else CYRILLIC)
+        text = _cleaned(text)
+        known, written = self.known, self.written
+        found = list(_TOKEN.finditer(text))
+        words = [known.get(m.group()) or self.word(m.group()) for m in found]
+        choice = [s for _, s in words]
+        if found and min(choice) < 1:
+            last = 0
+            for i, s in enumerate(choice):  # the nearest decided word before ...
+                if s > 0:
+                    last = s
+                elif -s & last:
+                    choice[i] = last
+            last = 0
+            for i in range(len(choice) - 1, -1, -1):  # ... else after
+                s = choice[i]
+                if s > 0:
+                    last = s
+                else:
+                    choice[i] = last if -s & last else (LATIN if -s & LATIN else CYRILLIC)
         out, at = [], 0
-        for m, s in zip(found, choice):
-            out += [seen[at : m.start()], self.spelled(m.group(), s)]
+        for m, w, s in zip(found, words, choice):
+            key = (w[0], s)
+            start = m.start()
+            if start > at:
+                out.append(text[at:start])
+            out.append(written.get(key) or self.spelled(key))
             at = m.end()
-        return unicodedata.normalize("NFC", "".join(out) + seen[at:])
+        out.append(text[at:])
+        return unicodedata.normalize("NFC", "".join(out))
 
 
 @F.pandas_udf(T.StringType())
@@ -229,12 +241,10 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     """
     forms = visual_forms(documents, key, text).where("text IS NOT NULL AND text <> '' AND form <> ''")
     hashed = forms.select(F.col(key).alias("id"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("raw"))
+    hashed = cut(hashed)  # texts are read and normalised once
     spellings = hashed.select("form", "raw").distinct()
     several = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    members = hashed.join(several, "form", "left_semi")
-    from panelmodes.session import cut
-
-    members = cut(members)
+    members = cut(hashed.join(several, "form", "left_semi"))
     spelled = members.select("form", "raw").distinct()
     other = spelled.select("form", F.col("raw").alias("raw_b"))
     both = spelled.withColumnRenamed("raw", "raw_a").join(other, "form").where("raw_a < raw_b")
