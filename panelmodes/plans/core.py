@@ -14,7 +14,9 @@ from panelmodes.functions import dates, names
 from panelmodes.operators import audit, cluster, dynamics, linalg, panel, plm, stability, validity
 from panelmodes.plans import panels
 from panelmodes.plans.panels import CATS, FEATURES, TOTAL, WINDOW_FEATURES
-from panelmodes.session import cut, table
+from panelmodes.session import cut, ensure_checkpoint_dir, table
+from panelmodes.sources import archives
+from panelmodes.streaming import panel_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -726,3 +728,35 @@ def ablations(spark: SparkSession, d: str) -> DataFrame:
         row = plm.spectral_metrics(plm.spectrum(plm.couplings(linalg.binarize(z, cols), cols, QUARTERLY.c_reg))).select(F.lit(name).alias("variant"), "*")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+# --- windows of events and file formats ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT event_type, value, unnest(generate_series(time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 6 DAY, time_bucket(INTERVAL 1 DAY, ts), INTERVAL 1 DAY)) AS s FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
+    SELECT strftime(s, '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e GROUP BY 1, 2"""
+)
+def sliding_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming operator on a table: weekly windows that move by a day."""
+    got = panel_stream.windowed_totals(table(spark, d, "events"), "ts", ["event_type"], "value", "7 days", "1 day", "2 days")
+    return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT mo_id, mo, region_raw, residents::BIGINT AS residents FROM mo_cards")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A table written as delimited text and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv_round_trip"
+    cards = table(spark, d, "mo_cards").select("mo_id", "mo", "region_raw", F.col("residents").cast("long").alias("residents"))
+    cards.write.mode("overwrite").csv(path, header=True, quoteAll=True, nullValue="\\N", emptyValue="")
+    return spark.read.csv(path, header=True, schema="mo_id long, mo string, region_raw string, residents long", nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+@query("""SELECT "window"::BIGINT AS "window", n_mo::BIGINT AS n_mo, round(pr_plus, 6) AS pr_plus, round(top_evals[1], 6) AS first_eval, len(top_evals)::BIGINT AS n_evals FROM dynamic_summary""")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Nested summaries written as JSON, read by schema and exploded."""
+    path = f"{ensure_checkpoint_dir(spark)}/json_round_trip"
+    w = table(spark, d, "dynamic_summary").select("window", "n_mo", "pr_plus", "top_evals")
+    archives.write_json(w.agg(F.collect_list(F.struct(*w.columns)).alias("windows")), path)  # a summary: one entry per window
+    got = archives.read_windows(spark, path, "windows array<struct<window:int,n_mo:int,pr_plus:double,top_evals:array<double>>>")
+    return rounded(got.select("window", "n_mo", "pr_plus", F.col("top_evals")[0].alias("first_eval"), F.size("top_evals").alias("n_evals")))
