@@ -94,12 +94,18 @@ class Bins:
             if not first:
                 continue
             second = self._largest(room - first[0], size - first[0], b, pool, first[1])
-            if second and first[0] + second[0] > size:
-                c = first[2]
-                if self.fill[c] - first[0] - (second[0] if second[2] == c else 0) + size <= self.capacity:
+            if not second or first[0] + second[0] <= size:
+                continue
+            for back in {first[2], second[2]}:  # the container that takes the item in return
+                change = {b: first[0] + second[0] - size, first[2]: 0, second[2]: 0}
+                change[first[2]] -= first[0]
+                change[second[2]] -= second[0]
+                change[back] += size
+                gain = sum((self.fill[c] + d) ** 2 - self.fill[c] ** 2 for c, d in change.items())
+                if gain > 0 and self.fill[back] + change[back] <= self.capacity:
                     self._shift(*first, b, pool)
                     self._shift(*second, b, pool)
-                    self._shift(size, i, b, c, pool)
+                    self._shift(size, i, b, back, pool)
                     return True
         return False
 
