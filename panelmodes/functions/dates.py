@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DROP = r"[\s\p{Z}\p{Cf}]+"
-_YMD = r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?:[T ]?[0-9]{1,2}:.*)?$"
-_DMY = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})(?:[T ]?[0-9]{1,2}:.*)?$"
-_YM = r"^([0-9]{4})[-/.]([0-9]{1,2})$"
-_MY = r"^([0-9]{1,2})[-/.]([0-9]{4})$"
-_COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
+_YMD = r"^((?!0000)[0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?:[T ]?[0-9]{1,2}:.*)?$"
+_DMY = r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]((?!0000)[0-9]{4})(?:[T ]?[0-9]{1,2}:.*)?$"
+_YM = r"^((?!0000)[0-9]{4})[-/.]([0-9]{1,2})$"
+_MY = r"^([0-9]{1,2})[-/.]((?!0000)[0-9]{4})$"
+_COMPACT = r"^((?!0000)[0-9]{4})([0-9]{2})([0-9]{2})$"
 
 
 def real_date(raw: Column) -> Column:
@@ -26,17 +26,17 @@ def real_date(raw: Column) -> Column:
     def parts(pattern: str, year: int, month: int, day: int | None) -> Column:
         piece = lambda i, w: F.lpad(F.regexp_extract(text, pattern, i), w, "0")
         last = piece(day, 2) if day else F.lit("01")
-        return F.concat_ws("-", piece(year, 4), piece(month, 2), last)
+        return F.concat_ws("-", piece(year, 4), piece(month, 2), last).try_cast("date")
 
-    iso = (
-        F.when((F.length(raw) == 10) & raw.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), raw)
+    # Most dates are plain ISO days; they take the first branch, and the others touch no regular expression twice.
+    return (
+        F.when(raw.rlike(r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"), raw.try_cast("date"))
         .when(text.rlike(_YMD), parts(_YMD, 1, 2, 3))
         .when(text.rlike(_DMY), parts(_DMY, 3, 2, 1))
         .when(text.rlike(_COMPACT), parts(_COMPACT, 1, 2, 3))
         .when(text.rlike(_YM), parts(_YM, 1, 2, None))
         .when(text.rlike(_MY), parts(_MY, 2, 1, None))
     )
-    return F.when(~iso.startswith("0000"), iso.try_cast("date"))
 
 
 def year_month(day: Column) -> Column:

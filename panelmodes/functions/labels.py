@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TOTAL = "Все категории"
 CATEGORIES = (TOTAL, "Здоровье", "Маркетплейсы", "Общественное питание", "Продовольствие", "Транспорт")
 
-#: What a folded label has to contain to count as the category; the first hit decides.
+#: What a folded label has to contain to count as the category; the earliest hit in the label decides.
 STEMS = (("категори", TOTAL), ("здоров", "Здоровье"), ("маркет", "Маркетплейсы"), ("общепит", "Общественное питание"), ("питани", "Общественное питание"), ("прод", "Продовольствие"), ("трансп", "Транспорт"))
 
 LATIN_TWINS = "ABCEHKMOPTXYaceopxyk"
@@ -27,12 +27,11 @@ def category_slot(raw: Column, stems: tuple[tuple[str, str], ...] = STEMS, names
     exact = F.lit(None).cast("int")
     for i, name in reversed(list(enumerate(names))):
         exact = F.when(raw == name, i).otherwise(exact)
-    text = folded(raw)
-    loose = F.lit(None).cast("int")
-    for stem, name in reversed(stems):
-        loose = F.when(text.contains(stem), names.index(name)).otherwise(loose)
-    return F.coalesce(exact, loose)
+    # Evaluated once a row, and only for labels that aren't spelled exactly.
+    hit = F.regexp_extract(folded(raw), "(" + "|".join(stem for stem, _ in stems) + ")", 1)
+    slots = F.create_map(*(x for stem, name in stems for x in (F.lit(stem), F.lit(names.index(name)))))
+    return F.coalesce(exact, F.try_element_at(slots, hit))
 
 
 def category_name(slot: Column, names: tuple[str, ...] = CATEGORIES) -> Column:
-    return F.element_at(F.array(*map(F.lit, names)), slot + 1)
+    return F.when(slot.isNotNull(), F.element_at(F.array(*map(F.lit, names)), slot + 1))
