@@ -29,7 +29,7 @@ def _close(fields: Sequence[int], tol: Sequence[int], a: str, b: str) -> Column:
 class BoxClusters:
     """Clustering of ``df`` by numeric fields with a tolerance for each.
 
-    ``key`` must be unique. Records with NULL, NaN, infinite or beyond-nine-billion fields can't be compared and are left out. Exact copies
+    ``key`` must be unique; a record without one is left out. Records with NULL, NaN, infinite or beyond-nine-billion fields can't be compared and are left out. Exact copies
     are collapsed to one weighted point first and expanded at the end, so copies cost nothing. A grid as wide as the
     tolerances makes all points of a cell similar to each other: one point per cell can become a pivot in a round, and a point meets
     at most the candidates of its own and the 3^k - 1 neighbouring cells. Work per round is linear in the points, however dense they lie;
@@ -41,7 +41,7 @@ class BoxClusters:
         self.tol = [round(t * UNIT) for t in tolerances.values()]
         self.at = range(len(self.names))
         grid = [F.when(F.abs(F.col(c).cast("double")) < 9e9, F.round(F.col(c).cast("double") * UNIT).cast("long")).alias(f"x{i}") for i, c in enumerate(self.names)]
-        real = F.lit(True)
+        real = F.col("id").isNotNull()
         for i, c in enumerate(self.names):
             real = real & F.col(f"x{i}").isNotNull()
         self.records = cut(df.select(F.col(key).cast("long").alias("id"), *grid).where(real))

@@ -237,9 +237,9 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
 
     Only hashes of 256 bits are shuffled. Rows are first grouped by stored text; pairs are formed between the different
     spellings of a form and then expanded to their documents, so that equal copies are never compared with each other.
-    NULL and empty texts are left out, also texts of which nothing is visible.
+    NULL ids, NULL and empty texts are left out, also texts of which nothing is visible.
     """
-    forms = visual_forms(documents, key, text).where("text IS NOT NULL AND text <> '' AND form <> ''")
+    forms = visual_forms(documents, key, text).where(F.col(key).isNotNull() & F.expr("text IS NOT NULL AND text <> '' AND form <> ''"))
     hashed = forms.select(F.col(key).alias("id"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("raw"))
     hashed = cut(hashed)  # texts are read and normalised once
     spellings = hashed.select("form", "raw").distinct()
@@ -257,9 +257,10 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
 def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, documents, spellings): the class of texts that look the same, named by its smallest id.
 
-    NULL texts form no class and are left out; empty texts are one class.
+    NULL ids and texts form no class and are left out; empty texts are one class.
     """
-    hashed = visual_forms(documents, key, text).where("text IS NOT NULL").select(F.col(key).alias("doc_id"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("raw"))
+    hashed = visual_forms(documents, key, text).where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("doc_id"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("raw"))
+    hashed = cut(hashed)
     spelled = hashed.groupBy("form", "raw").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     classes = spelled.groupBy("form").agg(F.min("least").alias("class_id"), F.sum("n").alias("documents"), F.count("*").alias("spellings"))
     return hashed.join(classes, "form").select("doc_id", "class_id", "documents", "spellings")
