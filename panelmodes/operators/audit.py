@@ -9,6 +9,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmodes.operators.linalg import exact_median
+
 
 def collisions(names: DataFrame, name: str, region: str) -> DataFrame:
     """(name, n_regions, n_rows): names that stand in more than one region."""
@@ -31,8 +33,8 @@ def closer_pole(value: Column, low: Column, high: Column) -> Column:
 def profile_vs_poles(features: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
     """(entity, feature, value, median, delta, mean0, mean1, closer) of every entity: against the medians and the means of both labels. One long pass."""
     long = features.select("entity", F.col(label).alias("_label"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns])).alias("f")).select("entity", "_label", "f.*")
-    stats = long.groupBy("feature").agg(F.median("value").alias("median"), F.avg(F.when(F.col("_label") == 0, F.col("value"))).alias("mean0"), F.avg(F.when(F.col("_label") == 1, F.col("value"))).alias("mean1"))
-    joined = long.join(F.broadcast(stats), "feature")  # one row per feature
+    stats = long.groupBy("feature").agg(F.avg(F.when(F.col("_label") == 0, F.col("value"))).alias("mean0"), F.avg(F.when(F.col("_label") == 1, F.col("value"))).alias("mean1"))
+    joined = long.join(F.broadcast(stats.join(exact_median(long, "value", ["feature"]), "feature")), "feature")  # one row per feature
     return joined.select("entity", "feature", "value", "median", (F.col("value") - F.col("median")).alias("delta"), "mean0", "mean1", closer_pole(F.col("value"), F.col("mean0"), F.col("mean1")).alias("closer"))
 
 
@@ -65,7 +67,7 @@ def income_proxy(df: DataFrame, target: str, predictors: Sequence[str], least_r2
     known = df.where(F.col(target).isNotNull() & ~F.isnan(target)).dropna(subset=list(predictors))
     shape = VectorAssembler(inputCols=list(predictors), outputCol="_f", handleInvalid="skip")
     model = LinearRegression(featuresCol="_f", labelCol=target, solver="normal").fit(shape.transform(known))
-    middle = known.agg(F.median(target)).first()[0]
+    middle = exact_median(known, target).first()[0]
     fallback = model.summary.r2 < least_r2
     guess = F.lit(float(model.intercept))
     for c, w in zip(predictors, model.coefficients.toArray()):

@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmodes.operators import linalg, plm, validity
+from panelmodes.session import cut
 
 
 def row_numbers(df: DataFrame, order: str) -> DataFrame:
@@ -39,7 +40,11 @@ def labels_by_group(binary: DataFrame, x: DataFrame, columns: Sequence[str], by:
     u = F.aggregate(F.zip_with(vec, "loadings", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     w = F.col(weight) if weight else F.lit(1)
     scored = x.join(modes, by).select(by, "entity", u.alias("u1"), w.cast("long").alias("weight"))
-    mid = scored.groupBy(by).agg(F.percentile("u1", F.lit(0.5), F.col("weight")).alias("_mid"))
+    scored = cut(scored)
+    if weight:  # replicates hold one row per distinct entity drawn
+        mid = scored.groupBy(by).agg(F.percentile("u1", F.lit(0.5), F.col("weight")).alias("_mid"))
+    else:
+        mid = linalg.exact_median(scored, "u1", [by], "_mid")
     return scored.join(mid, by).select(by, "entity", "u1", (F.col("u1") > F.col("_mid")).cast("int").alias("label"), "weight")
 
 
@@ -69,7 +74,8 @@ def regularisation_sweep(x: DataFrame, columns: Sequence[str], grid: Sequence[fl
     vec = F.array(*[F.col(k) for k in columns])
     u = F.aggregate(F.zip_with(vec, "loadings", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     scored = each.join(modes.where("mode = 1").select("c", "loadings"), "c").select("c", "entity", u.alias("u1"))
-    split = scored.join(scored.groupBy("c").agg(F.median("u1").alias("_mid")), "c").select("c", "entity", (F.col("u1") > F.col("_mid")).cast("int").alias("label"))
+    scored = cut(scored)
+    split = scored.join(linalg.exact_median(scored, "u1", ["c"], "_mid"), "c").select("c", "entity", (F.col("u1") > F.col("_mid")).cast("int").alias("label"))
     ref = split.where(F.col("c") == base).select("entity", F.col("label").alias("base"))
     ari = validity.adjusted_rand(validity.contingency(split.join(ref, "entity"), "label", "base", ["c"]), ["c"])
     return ari.join(plm.spectral_metrics(modes, ["c"]), "c").where(F.col("c").isin(*grid)).select("c", "ari", "lambda_max", "lambda_2", "pr_plus", "frustration")

@@ -91,7 +91,7 @@ def widen(cells: DataFrame, keys: Sequence[str], slot: str, value: str, slots: S
 
     ``cells`` has the key columns, the INT position ``slot`` of the attribute in ``slots``, the ``value``
     and the ``rank`` columns by which 'latest' and 'earliest' choose (ties on the rank: the larger,
-    or smaller, value). Rows whose slot is NULL or out of range, or whose value is NULL, fill no cell and
+    or smaller, value; NULL ranks before everything). Rows whose slot is NULL or out of range, or whose value is NULL, fill no cell and
     make no row. Keys may be NULL and then form an entity of their own. A value that the slot's type can't hold
     becomes NULL. An empty input gives an empty table with the full schema.
 
@@ -104,6 +104,8 @@ def widen(cells: DataFrame, keys: Sequence[str], slot: str, value: str, slots: S
     lowers = [MERGERS[s.merger].lower for s in slots]
     encoders = [ENCODERS[s.kind][1] for s in slots]
 
+    loose = any(cells.schema[c].nullable for c in rank)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sink = pa.BufferOutputStream()
@@ -116,6 +118,8 @@ def widen(cells: DataFrame, keys: Sequence[str], slot: str, value: str, slots: S
             plain = [_listed(c) for c in batch.columns]
             keyed = zip(*plain[:k])
             ranked = zip(*plain[k + 1 : k + 1 + r]) if r else repeat(())
+            if loose:
+                ranked = (tuple((0,) if x is None else (1, x) for x in place) for place in ranked)
             for key, at, place, v in zip(keyed, plain[k], ranked, plain[-1]):
                 yield key, (at, lifts[at](place, v))
 

@@ -183,7 +183,7 @@ def window_features(spark: SparkSession, d: str) -> DataFrame:
 
 def window_labels(spark: SparkSession, d: str) -> DataFrame:
     """A labeling of every window that needs no fit."""
-    f = panels.window_features_l(spark, d).select("window", "entity", "share_economy")
+    f = cut(panels.window_features_l(spark, d).select("window", "entity", "share_economy"))
     return cluster.median_split(f, "share_economy", ["window"]).select("window", "entity", "label")
 
 
@@ -318,8 +318,9 @@ def feature_pruning(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT category, count(*) AS n, min(v) AS low, max(v) AS high, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS spread, round(median(v), 6) AS middle FROM (SELECT o_orderpriority AS category, o_totalprice AS v FROM orders) GROUP BY 1""")
 def global_stats(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("o_totalprice")
-    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("category"))
-    return g.agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("spread"), F.round(F.median(v), 6).alias("middle"))
+    rows = table(spark, d, "orders").withColumn("category", F.col("o_orderpriority"))
+    g = rows.groupBy("category").agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("spread"))
+    return g.join(linalg.exact_median(rows, "o_totalprice", ["category"], "middle").withColumn("middle", F.round("middle", 6)), "category")
 
 
 @query("""SELECT mo_norm, round(avg(log_total), 6) AS log_total, round(avg(share_grocery), 6) AS share_grocery, count(*) AS n FROM features_szfo_v2_final GROUP BY 1""")
@@ -364,7 +365,7 @@ _SPLIT_SQL = f"{panels.SCALED_SQL}, u AS (SELECT *, {_U} AS u1 FROM scaled), spl
 
 
 def split_l(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.median_split(panels.scaled_l(spark, d).withColumn("u1", linalg.dot(FEATURES, LOADING)), "u1")
+    return cluster.median_split(cut(panels.scaled_l(spark, d).withColumn("u1", linalg.dot(FEATURES, LOADING))), "u1")
 
 
 @query(f"WITH {_SPLIT_SQL} SELECT entity, round(u1, 6) + 0.0 AS u1, label::BIGINT AS label FROM split")
@@ -385,7 +386,7 @@ def cluster_means(spark: SparkSession, d: str) -> DataFrame:
     CASE WHEN abs(v - m0) < abs(v - m1) THEN '0' WHEN abs(v - m1) < abs(v - m0) THEN '1' ELSE 'tie' END AS closer FROM l JOIN st USING (feature)"""
 )
 def profile_vs_poles(spark: SparkSession, d: str) -> DataFrame:
-    f = panels.features_l(spark, d).join(split_l(spark, d).select("entity", "label"), "entity")
+    f = cut(panels.features_l(spark, d).join(split_l(spark, d).select("entity", "label"), "entity"))
     return rounded(audit.profile_vs_poles(f, FEATURES))
 
 
@@ -396,9 +397,11 @@ def profile_vs_poles(spark: SparkSession, d: str) -> DataFrame:
     SELECT entity, tw AS to_window, category, round(before, 4) AS before, round(after, 4) AS after, round((after / before - 1) * 100, 6) + 0.0 AS pct FROM a"""
 )
 def spend_align(spark: SparkSession, d: str) -> DataFrame:
+    cells = cut(panels.panel_l(spark, d))
+    wide = panel.keep_long_series(panel.pivot_mean(cells, ["entity", "period"], [TOTAL, *CATS]), QUARTERLY.min_periods)
     events = dynamics.switch_events(window_labels(spark, d))
-    windows = panel.assign_windows(panels.long_wide_l(spark, d), QUARTERLY.window_length).select("window", "window_start", "window_end").distinct()
-    out = audit.align_switches(events, windows, panels.panel_l(spark, d))
+    windows = panel.assign_windows(wide, QUARTERLY.window_length).select("window", "window_start", "window_end").distinct()
+    out = audit.align_switches(events, windows, cells)
     return rounded(out.withColumns({"before": F.round("before", 4), "after": F.round("after", 4)}))
 
 
@@ -648,6 +651,12 @@ def louvain(spark: SparkSession, d: str) -> DataFrame:
     return cluster.louvain(panels.points(spark, d).select("id"), _edges(spark, d), QUARTERLY.resolution)
 
 
+@query()
+def louvain_parallel(spark: SparkSession, d: str) -> DataFrame:
+    """The same by joins, for graphs that fit no worker."""
+    return cluster.louvain_parallel(panels.points(spark, d).select("id"), cut(_edges(spark, d)), QUARTERLY.resolution)
+
+
 @query()
 def louvain_modularity(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)

@@ -80,6 +80,13 @@ def test_mergers(spark, merger, want):
     assert widen.widen(cells, ["k"], "slot", "v", [widen.Slot("a", "double", merger)], ["r"]).first().a == want
 
 
+def test_null_ranks_come_first(spark):
+    rows = [("a", 0, 1.0, None, "x"), ("a", 0, 2.0, T0, None), ("a", 0, 3.0, None, None), ("b", 0, 4.0, None, None), ("b", 0, 5.0, None, None)]
+    cells = spark.createDataFrame(rows, "k string, slot int, v double, t timestamp, s string").repartition(3)
+    for merger, want in (("latest", {"a": 2.0, "b": 5.0}), ("earliest", {"a": 3.0, "b": 4.0})):
+        assert {r.k: r.c for r in widen.widen(cells, ["k"], "slot", "v", [widen.Slot("c", "double", merger)], ["t", "s"]).collect()} == want
+
+
 def test_typed_slots_and_null_keys(spark):
     rows = [("a", 0, "5"), ("a", 1, "yes"), ("a", 2, "2024-02-30"), (None, 3, "t"), ("b", 0, "x"), ("b", 9, "z"), ("c", 1, None), ("c", None, "q")]
     cells = spark.createDataFrame(rows, "k string, slot int, v string")

@@ -269,6 +269,16 @@ def test_louvain_finds_planted_groups(spark):
     assert q > 0.5 and one == pytest.approx(0, abs=1e-9)
 
 
+def test_parallel_louvain_is_as_good(spark):
+    rng = np.random.default_rng(4)
+    edges = [(a, b) for a, b in itertools.combinations(range(50), 2) if rng.random() < (0.6 if a // 10 == b // 10 else 0.03)]
+    v, e = spark.createDataFrame([(i,) for i in range(51)], "id long"), spark.createDataFrame(edges, "src long, dst long")
+    one, two = (cluster.modularity(f(v, e, 1.0), e).first()[0] for f in (cluster.louvain, cluster.louvain_parallel))
+    assert two >= 0.95 * one and one > 0.5
+    got = cluster.louvain_parallel(v, e, 1.0)
+    assert got.count() == 51 and cluster.louvain_parallel(v, e.limit(0), 1.0).select("label").distinct().count() == 51
+
+
 def test_merge_small_and_ranks(spark):
     df = spark.createDataFrame([(i, lab) for i, lab in enumerate([5] * 4 + [2] * 6 + [7] + [1] * 2 + [9] * 4)], "id long, label int")
     got = {r.id: r.label for r in cluster.merge_small(df, 3).collect()}
@@ -280,6 +290,14 @@ def test_median_split_ties_go_down(spark):
     assert [r.label for r in cluster.median_split(df, "u").orderBy("entity").collect()] == [0, 0, 0, 1, 1]
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 2001, 9000, 9001])
+def test_exact_median(spark, n):
+    v = np.random.default_rng(n).normal(size=n).round(3 if n % 2 else 9)
+    rows = [("a", float(x)) for x in v] + [("b", 2.0)] * 3 + [("b", 5.0)] * 3 + [("c", None), ("d", float("nan")), ("d", 1.0)] + [("e", 1.0)] * 4000 + [("e", 0.0)] * 3999
+    got = {r.k: r["median"] for r in linalg.exact_median(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    assert got == {"a": float(np.median(v)), "b": 3.5, "d": 1.0, "e": 1.0}
+
+
 def test_bootstrap_equals_numpy(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(40, 4)) @ rng.normal(size=(4, 4))
