@@ -32,7 +32,7 @@ def monthly_grid(readings: DataFrame, max_gap_days: int = 124) -> DataFrame:
 
     Readings are first reduced to days, so no series can grow beyond its days, whatever share of the rows it has.
     """
-    days = day_values(readings)
+    days = day_values(readings).repartition("mo_id", "slot")  # serves the months and both neighbours
     at = F.unix_date("day")
     by_series = Window.partitionBy("mo_id", "slot")
     marked = days.select("mo_id", "slot", month_index(F.col("day")).alias("month"), at.alias("at"), "value")

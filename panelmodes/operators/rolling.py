@@ -33,7 +33,8 @@ def trailing_runs(days: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFram
     A run's rows per entity are bounded by days of its span, whatever share of all rows the entity has.
     """
     entry = lambda w: F.struct(F.lit(w).alias("lag"), (F.col("at") + w).alias("at"))
-    steps = days.select("mo_id", "total", F.explode(F.array(*map(entry, (0, *windows)))).alias("e"))
+    own_days = days.repartition("mo_id")  # bounded by the calendar by now; serves the sums and the windows
+    steps = own_days.select("mo_id", "total", F.explode(F.array(*map(entry, (0, *windows)))).alias("e"))
     own = lambda w: F.col("e.lag") == w
     sums = [F.sum(F.when(own(w), F.col("total"))).alias(f"s{w}") for w in (0, *windows)]
     counts = [F.sum(F.when(own(w), 1).otherwise(0)).alias(f"n{w}") for w in (0, *windows)]
@@ -97,7 +98,7 @@ def window_totals(days: DataFrame, windows: DataFrame) -> DataFrame:
     )
     bounds = latest.select("window", F.unix_date(F.col("w.window_start")).alias("low"), F.unix_date(F.last_day("w.window_end")).alias("high"))
     covered = bounds.where("low <= high").withColumn("month", F.explode(F.sequence(F.date_from_unix_date("low"), F.date_from_unix_date("high"), F.expr("interval 1 month"))))
-    months = days.groupBy("mo_id", F.trunc(F.date_from_unix_date("at"), "month").alias("month")).agg(F.sum("total").alias("total"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+    months = days.repartition("mo_id").groupBy("mo_id", F.trunc(F.date_from_unix_date("at"), "month").alias("month")).agg(F.sum("total").alias("total"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
     path = Window.partitionBy("mo_id").orderBy("month")
     so_far = path.rowsBetween(Window.unboundedPreceding, 0)
     runs = months.select(
