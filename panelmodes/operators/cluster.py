@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from itertools import repeat
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -77,16 +78,18 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def louvain_labels(src: Sequence[int], dst: Sequence[int], nodes: Sequence[int], resolution: float, most: int = 50) -> dict[int, int]:
+def louvain_labels(src: Sequence[int], dst: Sequence[int], nodes: Sequence[int], resolution: float, most: int = 50, weights: Sequence[float] | None = None) -> dict[int, int]:
     """Deterministic Louvain: nodes in order of id, moves of strictly positive gain to the best neighbour community (ties: the smaller), levels until nothing moves."""
     member = {v: v for v in nodes}
     weight: dict[int, dict[int, float]] = {v: defaultdict(float) for v in nodes}
     loops: dict[int, float] = defaultdict(float)
-    for a, b in zip(src, dst):
+    for a, b, w in zip(src, dst, weights if weights is not None else repeat(1.0)):
         if a != b:
-            weight[a][b] += 1.0
-            weight[b][a] += 1.0
-    total = sum(sum(n.values()) for n in weight.values()) / 2
+            weight[a][b] += w
+            weight[b][a] += w
+        elif weights is not None:  # what a contracted vertex holds inside
+            loops[a] += w
+    total = sum(sum(n.values()) for n in weight.values()) / 2 + sum(loops.values())
     if total == 0:
         return member
     for _ in range(most):
@@ -159,46 +162,50 @@ def modularity(labels: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     return m.join(F.broadcast(mass)).select((F.col("inside") / F.col("m") - resolution * F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def louvain_parallel(vertices: DataFrame, edges: DataFrame, resolution: float = 0.5, seed: int = 42, rounds: int = 12, levels: int = 10) -> DataFrame:
+SMALL_GRAPH = 200_000  # links of a contracted graph that one worker finishes
+
+
+def louvain_parallel(vertices: DataFrame, edges: DataFrame, resolution: float = 0.5, seed: int = 42, rounds: int = 12, levels: int = 6) -> DataFrame:
     """(id, label): communities of one graph of any size; labels ranked by size.
 
-    The same gains as the sequential method, but a seeded half of the vertices moves at a time by joins and aggregates; a round that doesn't raise modularity is undone and
-    ends the level, then communities become the vertices of the next level. No task holds the graph, and every round is cut from its lineage. Isolated vertices stay alone.
+    The same gains as the sequential method, but a seeded third of the vertices moves at a time by joins and aggregates; a level ends when three rounds running don't raise
+    modularity, then communities become the vertices of the next level. Once a contracted graph has at most SMALL_GRAPH links, one task finishes it sequentially. No task
+    holds a larger graph, and every round is cut from its lineage. Isolated vertices stay alone.
     """
-    sym = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    links = cut(sym.select(F.col("a").cast("long").alias("src"), F.col("b").cast("long").alias("dst"), F.lit(1.0).alias("w")).unionByName(sym.select(F.col("b").cast("long").alias("src"), F.col("a").cast("long").alias("dst"), F.lit(1.0).alias("w"))))
+    sym = edges.where("src <> dst").select(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")).distinct()
+    links = cut(sym.withColumn("w", F.lit(1.0)).unionByName(sym.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w"))))
     twice = links.agg(F.sum("w")).first()[0]
     member = vertices.select(F.col("id").cast("long").alias("id")).distinct().withColumn("label", F.col("id"))
     if not twice:
         return ranked_by_size(member)
-    member = cut(member)
 
-    def quality(state: DataFrame, graph: DataFrame) -> float:
+    def quality(state: DataFrame) -> float:
         a, b = state.select(F.col("id").alias("src"), F.col("com").alias("ca")), state.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
-        inside = graph.join(a, "src").join(b, "dst").where("ca = cb").agg(F.sum("w")).first()[0] or 0.0
-        mass = state.groupBy("com").agg(F.sum("deg").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0]
-        return inside / twice - resolution * mass / (twice * twice)
+        inside = links.join(a, "src").join(b, "dst").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("i"))
+        mass = state.groupBy("com").agg(F.sum("deg").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("m"))
+        r = inside.join(F.broadcast(mass)).first()  # one row each
+        return r.i / twice - resolution * r.m / (twice * twice)
 
     for level in range(levels):
         state = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")).withColumn("com", F.col("id")))
-        now, start, idle = quality(state, links), None, 0
-        start = now
+        start = now = quality(state)
+        idle = 0
         for r in range(rounds):
-            totals = state.groupBy("com").agg(F.sum("deg").alias("tot"))
+            totals = state.groupBy(F.col("com").alias("to")).agg(F.sum("deg").alias("tot"))
             to = links.where("src <> dst").join(state.select(F.col("id").alias("dst"), F.col("com").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("k"))
             own = state.select("id", F.col("com").alias("to"), F.lit(0.0).alias("k"))
-            every = to.unionByName(own).groupBy("id", "to").agg(F.sum("k").alias("k")).join(state, "id").join(totals.withColumnRenamed("com", "to"), "to")
+            every = to.unionByName(own).groupBy("id", "to").agg(F.sum("k").alias("k")).join(state, "id").join(totals, "to")
             rest = F.col("tot") - F.when(F.col("to") == F.col("com"), F.col("deg")).otherwise(0.0)
             gain = every.withColumn("g", F.round(F.col("k") - resolution * F.col("deg") * rest / twice, 9))
             best = gain.groupBy("id", "com", "deg").agg(F.max(F.struct("g", (-F.col("to")).alias("t"))).alias("b"), F.max(F.when(F.col("to") == F.col("com"), F.col("g"))).alias("stay"))
-            turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(r), "id"), F.lit(2)) == 0
+            turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(r), "id"), F.lit(3)) == 0
             moved = cut(best.select("id", "deg", F.when(turn & (F.col("b.g") > F.col("stay")), -F.col("b.t")).otherwise(F.col("com")).alias("com")))
-            got = quality(moved, links)
+            got = quality(moved)
             if got > now + 1e-9:
                 state, now, idle = moved, got, 0
             else:
                 idle += 1
-                if idle == 2:
+                if idle == 3:
                     break
         if now <= start + 1e-9:
             break
@@ -206,4 +213,17 @@ def louvain_parallel(vertices: DataFrame, edges: DataFrame, resolution: float =
         member = cut(member.join(names, "label", "left").select("id", F.coalesce("new", "label").alias("label")))
         a, b = state.select(F.col("id").alias("src"), F.col("com").alias("ca")), state.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
         links = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")))
-    return ranked_by_size(member)
+        if links.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+            break
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted(set(group["src"]))
+        half = group[group["src"] <= group["dst"]]
+        w = half["w"].where(half["src"] != half["dst"], half["w"] / 2)
+        got = louvain_labels(half["src"].tolist(), half["dst"].tolist(), nodes, resolution, weights=w.tolist())
+        return pd.DataFrame({"label": nodes, "new": [got[v] for v in nodes]})
+
+    if links.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+        names = links.groupBy(F.lit(1).alias("_all")).applyInPandas(finish, "label long, new long")
+        member = member.join(names, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+    return ranked_by_size(cut(member))
