@@ -77,7 +77,7 @@ def number_or_null(text: Column) -> Column:
 
 def digits_or_null(code: Column) -> Column:
     """A code of digits only once plain and non-breaking spaces are out; else NULL."""
-    bare = F.regexp_replace(code, "[  ]", "")
+    bare = F.regexp_replace(code, "[ \u00a0]", "")
     return F.when(bare.rlike("^[0-9]+$"), bare)
 
 

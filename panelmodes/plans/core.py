@@ -225,7 +225,7 @@ SHEET = (
     (3, "1", "Боровичский район", "49 606 000", "31.5"),
     (4, "2", "Муниципальные районы", "49", "3"),
     (5, None, "Муниципальные районы", None, None),
-    (6, "3", " Валдайский район ", "49 608 000", "abc"),
+    (6, "3", " Валдайский район ", "49\u00a0608 000", "abc"),
     (7, "4", "Окуловский район", "49x", "28.25"),
     (8, None, "Тверская область", None, None),
     (9, "5", "Бежицкий район", "28", "20"),

@@ -123,7 +123,7 @@ def test_territory_names(spark, raw, want):
 
 
 def test_regions_codes_and_casts(spark):
-    rows = [("Республика Коми", "49 606 000", "1.5"), ("Ямало-Ненецкий АО", "49x", "x"), ("Тверская область", None, None), (None, "", " 7 ")]
+    rows = [("Республика Коми", "49\u00a0606 000", "1.5"), ("Ямало-Ненецкий АО", "49x", "x"), ("Тверская область", None, None), (None, "", " 7 ")]
     got = spark.createDataFrame(rows, "t string, c string, v string").select(names.first_key(F.col("t")), names.looks_like_region(F.col("t")), names.digits_or_null(F.col("c")), names.number_or_null(F.col("v"))).collect()
     assert [tuple(r) for r in got] == [("Коми", True, "49606000", 1.5), ("НАО", False, None, None), (None, True, None, None), (None, False, None, 7.0)]
 
