@@ -103,7 +103,7 @@ _FIRST, _SPELL, _SCRIPTS = _tables()
 # By rule: full-width signs lie at a fixed distance from ASCII; ligatures and Roman-numeral signs decompose by Unicode.
 _EARLY = {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFB00, 0xFB07), *range(0x2160, 0x2180), 0xB5)}
 # Joiners shape Arabic, Indic and emoji sequences and stay there.
-_JOINERS = re.compile("(?<![؀-࿿☀-➿️\U0001f000-\U0001faff])[‌‍]+")
+_JOINERS = re.compile("(?<![\u0600-࿿☀-➿\ufe0f\U0001f000-\U0001faff])[\u200c\u200d]+")
 _MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 _TOKEN = re.compile(f"[^\\W\\d_](?:[^\\W\\d_]|[{_MARKS}])*")
 _TAIL = re.compile("[ \t]+(?=\n|\\Z)")
@@ -149,7 +149,7 @@ def resolved_scripts(token: str) -> tuple[int, int]:
     """(intersection, majority) of a token of a visible form: the scripts that write all of it, and the script most of its one-script letters need."""
     left, tally = LATIN | CYRILLIC | GREEK, {LATIN: 0, CYRILLIC: 0, GREEK: 0}
     for letter in token:
-        if "̀" <= letter <= "ͯ":
+        if "\u0300" <= letter <= "\u036f":
             continue
         own = _of_letter(letter)
         if not own:
