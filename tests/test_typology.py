@@ -395,3 +395,10 @@ def test_stream_equals_table(spark, tmp_path):
     w = panel_stream.to_table(panel_stream.first_seen(stream, "id", "ts", "30 days").select("id", "value"), str(tmp_path / "out"), str(tmp_path / "cp2"))
     w.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("id").distinct().count() >= 25
+
+
+def test_bootstrap_queries_run_all_replicates(spark):
+    from panelmodes.plans import core
+
+    got = [r.rep for r in core.bootstrap_ari(spark, "/root/testdata/sf0.001").select("rep").collect()]
+    assert sorted(got) == list(range(100))
