@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelmodes.operators.linalg import exact_median
+from panelmodes.operators.linalg import distance_quantiles, exact_median, spanning_edges
 from panelmodes.session import cut
 
 
@@ -78,6 +78,30 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def eps_components(points: DataFrame, grid: Sequence[float]) -> Iterator[tuple[float, float, int]]:
+    """(q, ε, number of components of the graph of distances below ε) for each q of ``grid``; ε is the quantile q of the positive distances of (id, x)."""
+    tree = cut(spanning_edges(points, "id", "x"))
+    for q in grid:
+        yield q, *_parts(points, tree, q)
+
+
+def _parts(points: DataFrame, tree: DataFrame, q: float) -> tuple[float, int]:
+    (eps,) = distance_quantiles(points, "id", "x", [q])
+    links = tree.where(F.col("d") < eps).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    return eps, components(points.where("x IS NOT NULL"), links).select("component").distinct().count()
+
+
+def connected_eps(points: DataFrame, grid: Sequence[float]) -> tuple[float, float]:
+    """(q, ε) of the smallest q of ``grid`` whose graph is one component, else of the largest q. A larger ε only joins components, so the grid is halved at each look."""
+    tree, grid, known = cut(spanning_edges(points, "id", "x")), sorted(grid), {}
+    low, high = 0, len(grid) - 1
+    while low < high:
+        mid = (low + high) // 2
+        known[mid], parts = _parts(points, tree, grid[mid])
+        low, high = (low, mid) if parts == 1 else (mid + 1, high)
+    return grid[low], known[low] if low in known else distance_quantiles(points, "id", "x", [grid[low]])[0]
+
+
 def louvain_labels(src: Sequence[int], dst: Sequence[int], nodes: Sequence[int], resolution: float, most: int = 50, weights: Sequence[float] | None = None) -> dict[int, int]:
     """Deterministic Louvain: nodes in order of id, moves of strictly positive gain to the best neighbour community (ties: the smaller), levels until nothing moves."""
     member = {v: v for v in nodes}

@@ -123,6 +123,33 @@ def edges_below(df: DataFrame, key: str, vector: str, eps: float) -> DataFrame:
     return over_pairs(blocks(df, key, vector), lambda a, la, b, lb, d, same: _ordered(a, b, d, same, d < eps), "i long, j long, d double")
 
 
+def spanning_edges(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(i, j, d) for i < j: of every pair of blocks a minimum spanning forest. For every ε the pairs kept with d < ε connect what all pairs with d < ε connect, with far fewer rows."""
+
+    def kernel(a, la, b, lb, d, same):  # noqa: ANN001, ANN202
+        d = np.nan_to_num(d, nan=np.inf, posinf=np.inf)
+        ids, far = (a, 0) if same else (np.concatenate([a, b]), len(a))
+        best, via, open_ = np.full(len(ids), np.inf), np.zeros(len(ids), dtype=np.int64), np.ones(len(ids), dtype=bool)
+        out, v = [], 0
+        for _ in range(len(ids)):  # Prim's steps
+            open_[v] = False
+            to, row = (slice(0, None), d[v]) if same else (slice(far, None), d[v]) if v < far else (slice(0, far), d[:, v - far])
+            nearer = row < best[to]
+            best[to] = np.where(nearer, row, best[to])
+            via[to] = np.where(nearer, v, via[to])
+            left = np.where(open_, best, np.inf)
+            v = int(left.argmin())
+            if not open_[v] or left[v] == np.inf:
+                if not open_.any():
+                    break
+                v = int(open_.argmax())
+                continue
+            out.append((min(ids[v], ids[via[v]]), max(ids[v], ids[via[v]]), left[v]))
+        return pd.DataFrame(out, columns=["i", "j", "d"])
+
+    return over_pairs(blocks(df, key, vector), kernel, "i long, j long, d double")
+
+
 def distance_quantiles(df: DataFrame, key: str, vector: str, qs: Sequence[float], bins: int = 4096, small: int = 200_000) -> list[float]:
     """Exact linearly interpolated quantiles of the positive distances, each pair counted twice.
 

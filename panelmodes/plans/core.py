@@ -646,20 +646,47 @@ def trajectory_ari(spark: SparkSession, d: str) -> DataFrame:
     return dynamics.consecutive_ari(_dynamics(spark, d)[2])
 
 
+@query()
+def eps_choice(spark: SparkSession, d: str) -> DataFrame:
+    """(q, eps, components, chosen): the smallest quantile of the grid whose graph is one component is chosen, else the largest."""
+    rows = list(cluster.eps_components(cut(panels.points(spark, d)), sorted(_QS)))
+    at = next((i for i, r in enumerate(rows) if r[2] == 1), len(rows) - 1)
+    return spark.createDataFrame([(*r, i == at) for i, r in enumerate(rows)], "q double, eps double, components long, chosen boolean")
+
+
+def _graph(points: DataFrame) -> DataFrame:
+    """(src, dst) of the neighbourhood graph under the chosen ε."""
+    points = cut(points)
+    _, eps = cluster.connected_eps(points, QUARTERLY.eps_grid)
+    return linalg.edges_below(points, "id", "x", eps).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+
+
+@query()
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges under the chosen ε; ``eps_edges`` is the operator at the quantile that its SQL fixes."""
+    return _graph(panels.points(spark, d))
+
+
+@query()
+def graph_components(spark: SparkSession, d: str) -> DataFrame:
+    """The components under the chosen ε; ``components`` is the operator at the quantile that its SQL fixes."""
+    return cluster.components(panels.points(spark, d), _graph(panels.points(spark, d)))
+
+
 @query()
 def louvain(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.louvain(panels.points(spark, d).select("id"), _edges(spark, d), QUARTERLY.resolution)
+    return cluster.louvain(panels.points(spark, d).select("id"), _graph(panels.points(spark, d)), QUARTERLY.resolution)
 
 
 @query()
 def louvain_parallel(spark: SparkSession, d: str) -> DataFrame:
     """The same by joins, for graphs that fit no worker."""
-    return cluster.louvain_parallel(panels.points(spark, d).select("id"), cut(_edges(spark, d)), QUARTERLY.resolution)
+    return cluster.louvain_parallel(panels.points(spark, d).select("id"), cut(_graph(panels.points(spark, d))), QUARTERLY.resolution)
 
 
 @query()
 def louvain_modularity(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
+    e = cut(_graph(panels.points(spark, d)))
     return cluster.modularity(cluster.louvain(panels.points(spark, d).select("id"), e, QUARTERLY.resolution), e)
 
 
@@ -680,15 +707,26 @@ def pca2(spark: SparkSession, d: str) -> DataFrame:
     return got.join(F.broadcast(means)).select("id", ((F.col("p")[0] - F.col("m0")) * sign[0]).alias("pc1"), ((F.col("p")[1] - F.col("m1")) * sign[1]).alias("pc2"))
 
 
+def lead_modes(x: DataFrame, k: int) -> DataFrame:
+    """(id, x): standardised entities projected on the leading ``k`` modes of their couplings."""
+    modes = plm.spectrum(plm.couplings(linalg.binarize(x, FEATURES), FEATURES, QUARTERLY.c_reg)).where(F.col("mode") <= k)
+    axes = [r.loadings for r in modes.orderBy("mode").select("loadings").collect()]  # k vectors of one entry per feature
+    return cut(x.select(F.col("entity").alias("id"), F.array(*[linalg.dot(FEATURES, v) for v in axes]).alias("x")))
+
+
+def graph_labels(x: DataFrame) -> DataFrame:
+    """(id, label): communities of the entities' neighbourhood graph on the leading modes under the chosen ε, small ones merged."""
+    u = lead_modes(x, QUARTERLY.graph_modes)
+    return cluster.merge_small(cluster.louvain(u.select("id"), _graph(u), QUARTERLY.resolution), QUARTERLY.min_community)
+
+
 @query()
 def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Threshold, k-means and graph communities of the same entities: sizes, validity and agreement with the threshold."""
     x = cut(panels.scaled_l(spark, d))
     pts = x.select(F.col("entity").alias("id"), F.array(*[F.col(c) for c in FEATURES]).alias("x"))
     threshold = cut(threshold_labels(spark, d).select(F.col("entity").alias("id"), "label"))
-    (eps,) = linalg.distance_quantiles(pts, "id", "x", [0.40])
-    edges = linalg.edges_below(pts, "id", "x", eps).select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    graph = cluster.merge_small(cluster.louvain(pts.select("id"), edges, QUARTERLY.resolution), QUARTERLY.min_community)
+    graph = graph_labels(x)
     out = None
     for name, labels in (("threshold", threshold), ("kmeans", cluster.kmeans(pts, 2, QUARTERLY.n_init)), ("louvain", graph)):
         labels = cut(labels.select("id", "label"))

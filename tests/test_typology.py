@@ -402,3 +402,45 @@ def test_bootstrap_queries_run_all_replicates(spark):
 
     got = [r.rep for r in core.bootstrap_ari(spark, "/root/testdata/sf0.001").select("rep").collect()]
     assert sorted(got) == list(range(100))
+
+
+def test_eps_is_the_smallest_quantile_that_connects(spark, monkeypatch):
+    monkeypatch.setattr(linalg.blocks, "__defaults__", (None, 16))
+    rng = np.random.default_rng(11)
+    grid = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
+    for shift in (3.2, 50.0):
+        x = rng.normal(size=(60, 2))
+        x[:30, 0] += shift
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        want = []
+        for q in grid:
+            eps = np.quantile(d[d > 0], q)
+            seen, todo, parts = set(), [], 0
+            for v in range(60):
+                if v not in seen:
+                    parts, todo = parts + 1, [v]
+                    while todo:
+                        u = todo.pop()
+                        if u not in seen:
+                            seen.add(u)
+                            todo += [int(w) for w in np.flatnonzero(d[u] < eps) if w not in seen]
+            want.append((q, pytest.approx(eps), parts))
+        pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+        got = list(cluster.eps_components(pts, grid))
+        assert got == want
+        chosen = next((r for r in got if r[2] == 1), got[-1])
+        assert cluster.connected_eps(pts, grid) == chosen[:2]
+
+
+def test_graph_queries_take_the_chosen_eps(spark):
+    from panelmodes.plans import core
+
+    folder = "/root/testdata/sf0.001"
+    rows = core.eps_choice(spark, folder).collect()
+    (chosen,) = [r for r in rows if r.chosen]
+    want = linalg.edges_below(core.panels.points(spark, folder), "id", "x", chosen.eps)
+    e = core.graph_edges(spark, folder)
+    assert len(rows) == 6 and e.count() == want.count() > 0
+    assert core.graph_components(spark, folder).select("component").distinct().count() == chosen.components
+    q = cluster.modularity(cluster.louvain(core.panels.points(spark, folder).select("id"), e, 0.5), e).first()[0]
+    assert core.louvain_modularity(spark, folder).first()[0] == pytest.approx(q)
