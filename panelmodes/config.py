@@ -34,4 +34,4 @@ class Params:
 
 MONTHLY = Params()
 #: Quarterly panels of the star schema: four quarters make a year, six quarters a window.
-QUARTERLY = Params(min_year_rows=4, years=(1999, 2000), window_min_entities=5, min_community=3, n_init=5)
+QUARTERLY = Params(min_year_rows=4, years=(1999, 2000), window_min_entities=5, min_community=3)

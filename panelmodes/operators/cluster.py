@@ -6,9 +6,8 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from itertools import repeat
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +24,104 @@ def median_split(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 def kmeans(points: DataFrame, k: int, starts: int = 30, seed: int = 42) -> DataFrame:
     """(id, label): the best of ``starts`` seeded k-means runs by cost (ties: the earlier seed). Labels are 0.. by size, then by smallest id."""
-    rows = points.select("id", array_to_vector(F.col("x").cast("array<double>")).alias("features")).cache()
-    best = None
-    for s in range(seed, seed + starts):
-        model = KMeans(k=k, seed=s, initMode="k-means||", maxIter=50, tol=1e-6).fit(rows)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0] - 1e-12:
-            best = cost, model
-    got = best[1].transform(rows).select("id", F.col("prediction").alias("label"))
-    return ranked_by_size(got)
+    return kmeans_grid(points, [k], starts, seed).select("id", "label")
+
+
+def _uniform(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each id, by splitmix64 of id and salt."""
+    z = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((salt + 1) * 0xD1342543DE82EF95 % 2**64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0x9E3779B97F4A7C15), (29, 1)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(centres)))
+    for d in range(x.shape[1]):
+        step = x[:, d][:, None] - centres[:, d][None, :]
+        out += step * step
+    return out
+
+
+def kmeans_grid(points: DataFrame, ks: Sequence[int], starts: int = 30, seed: int = 42, most: int = 300, tol: float = 1e-4) -> DataFrame:
+    """(k, id, label) for every k: the best of ``starts`` seeded k-means++ runs by cost (ties: the earlier seed); labels 0.. by size, then by smallest id.
+
+    All runs of all k advance together, one job a step: a task holds its batch and the centres, and only sums per run and cluster leave it. A draw proportional to
+    the squared distance is the least of exponential keys, so it needs no global order. A run ends when its centres move by less than ``tol`` of the mean variance.
+    """
+    rows = cut(points.where("x IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x")))
+    first = rows.first()
+    if first is None:
+        return ranked_by_size(rows.select(F.lit(0).alias("k"), "id", F.lit(0).alias("label")), ["k"])
+    p = len(first.x)
+    stats = rows.agg(*[F.var_pop(F.col("x")[i]) for i in range(p)]).first()
+    least = tol * sum(stats) / p
+    runs = [(k, s) for k in ks for s in range(starts)]
+    centres: dict[int, np.ndarray] = {r: np.zeros((0, p)) for r in range(len(runs))}
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for f in frames:
+            if len(f):
+                yield f["id"].to_numpy(), np.vstack(f["x"].to_list())
+
+    for step in range(max(ks)):
+        todo = {r: centres[r] for r, (k, _) in enumerate(runs) if k > step}
+
+        def draw(frames, todo=todo, step=step):  # noqa: ANN001, ANN202
+            for ids, x in batches(frames):
+                out = []
+                for r, c in todo.items():
+                    k, s = runs[r]
+                    with np.errstate(divide="ignore"):
+                        keys = -np.log(_uniform(ids, ((seed + s) * 1000 + k) * 1000 + step)) / (_squares(x, c).min(1) if len(c) else 1.0)
+                    at = int(np.lexsort((ids, keys))[0])
+                    out.append((r, float(keys[at]), int(ids[at]), x[at].tolist()))
+                yield pd.DataFrame(out, columns=["r", "key", "id", "x"])
+
+        got = rows.mapInPandas(draw, "r int, key double, id long, x array<double>").groupBy("r").agg(F.min(F.struct("key", "id", "x")).alias("m")).collect()  # one row a run
+        for g in got:
+            centres[g.r] = np.vstack([centres[g.r], np.array(g.m.x)])
+
+    def sums(frames: Iterator[pd.DataFrame], now: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        total = {r: np.zeros((len(c), p + 2)) for r, c in now.items()}  # sums, number and cost of each cluster
+        for _, x in batches(frames):
+            for r, c in now.items():
+                square = _squares(x, c)
+                at = square.argmin(1)
+                hot = (at[:, None] == np.arange(len(c))[None, :]).astype(float)
+                total[r] += hot.T @ np.column_stack([x, np.ones(len(x)), square[np.arange(len(x)), at]])
+        out = [pd.DataFrame({"r": r, "i": np.arange(t.size), "v": t.ravel()}) for r, t in total.items()]
+        yield pd.concat(out) if out else pd.DataFrame({"r": [], "i": [], "v": []})
+
+    def gathered(now: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        got = rows.mapInPandas(lambda f: sums(f, now), "r int, i int, v double").groupBy("r", "i").agg(F.sum("v").alias("v")).toPandas()  # a number per run, cluster and coordinate
+        return {r: g.sort_values("i")["v"].to_numpy().reshape(-1, p + 2) for r, g in got.groupby("r")}
+
+    active = dict(centres)
+    for _ in range(most):
+        for r, t in gathered(active).items():
+            new = np.where(t[:, p : p + 1] > 0, t[:, :p] / np.maximum(t[:, p : p + 1], 1), centres[r])  # an empty cluster stays
+            done = float(((new - centres[r]) ** 2).sum()) <= least
+            centres[r] = new
+            if done:
+                del active[r]
+            else:
+                active[r] = new
+        if not active:
+            break
+    cost = {r: float(t[:, p + 1].sum()) for r, t in gathered(centres).items()}
+    best = {}
+    for k in ks:
+        mine = [r for r, (q, _) in enumerate(runs) if q == k]
+        low = min(cost[r] for r in mine)
+        best[k] = centres[next(r for r in mine if cost[r] <= low * (1 + 1e-9))]
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, x in batches(frames):
+            for k, c in best.items():
+                yield pd.DataFrame({"k": k, "id": ids, "label": _squares(x, c).argmin(1)})
+
+    return ranked_by_size(cut(rows.mapInPandas(assign, "k int, id long, label int")), ["k"])
 
 
 def ranked_by_size(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -690,9 +690,62 @@ def louvain_modularity(spark: SparkSession, d: str) -> DataFrame:
     return cluster.modularity(cluster.louvain(panels.points(spark, d).select("id"), e, QUARTERLY.resolution), e)
 
 
+def lead_modes(x: DataFrame, k: int) -> DataFrame:
+    """(id, x): standardised entities projected on the leading ``k`` modes of their couplings."""
+    modes = plm.spectrum(plm.couplings(linalg.binarize(x, FEATURES), FEATURES, QUARTERLY.c_reg)).where(F.col("mode") <= k)
+    axes = [r.loadings for r in modes.orderBy("mode").select("loadings").collect()]  # k vectors of one entry per feature
+    return cut(x.select(F.col("entity").alias("id"), F.array(*[linalg.dot(FEATURES, v) for v in axes]).alias("x")))
+
+
+def _kmeans_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int | None]:
+    """Labels (k, id, label) for K = 2..8 on the row-normalised leading modes, their scores on the features, and the K of the best silhouette; K with a cluster below two members has no score."""
+    x = cut(panels.scaled_l(spark, d))
+    u = lead_modes(x, QUARTERLY.kmeans_modes)
+    cols = [f"u{i}" for i in range(QUARTERLY.kmeans_modes)]
+    wide = u.select("id", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)]).withColumns(linalg.row_normalised(cols))
+    labels = cut(cluster.kmeans_grid(wide.select("id", F.array(*cols).alias("x")), range(2, 9), QUARTERLY.n_init, QUARTERLY.seed))
+    pts = x.select(F.col("entity").alias("id"), F.array(*[F.col(c) for c in FEATURES]).alias("x"))
+    members = labels.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.sort_array(F.collect_list("n"), asc=False).alias("sizes"))  # one entry per label
+    rows = []
+    for r in members.orderBy("k").collect():
+        if len(r.sizes) == r.k and min(r.sizes) >= 2:
+            got = pts.join(labels.where(F.col("k") == r.k).drop("k"), "id").select("id", "label", "x")
+            long = validity.long_points(got)
+            cents = validity.centroids(long)
+            s = validity.silhouette(validity.distance_sums(got)).join(F.broadcast(validity.calinski(long, cents))).join(F.broadcast(validity.davies_bouldin(long, cents))).first()  # one row each
+            rows.append((r.k, r.sizes, *s))
+    best = max(rows, key=lambda r: r[2])[0] if rows else None
+    table = spark.createDataFrame([(*r, r[0] == best) for r in rows], "k int, sizes array<long>, silhouette double, calinski double, davies_bouldin double, chosen boolean")
+    return labels, table, best
+
+
 @query()
 def kmeans_multi(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.kmeans(panels.points(spark, d), 4, QUARTERLY.n_init)
+    """(id, label) of the K of the best silhouette among K = 2..8."""
+    labels, _, best = _kmeans_grid(spark, d)
+    return labels.where(F.col("k") == F.lit(best)).select("id", "label")
+
+
+@query()
+def kmeans_choice(spark: SparkSession, d: str) -> DataFrame:
+    """(k, sizes, silhouette, calinski, davies_bouldin, chosen) of each K without a cluster below two members."""
+    return _kmeans_grid(spark, d)[1]
+
+
+@query()
+def icvi_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The validity table of k-means with K = 2..5, the threshold and the graph communities, all on the standardised features."""
+    x = cut(panels.scaled_l(spark, d))
+    pts = x.select(F.col("entity").alias("id"), F.array(*[F.col(c) for c in FEATURES]).alias("x"))
+    grid = cut(cluster.kmeans_grid(pts, range(2, 6), QUARTERLY.n_init, QUARTERLY.seed))
+    methods = {f"kmeans_{k}": grid.where(F.col("k") == k) for k in range(2, 6)}
+    methods["threshold"] = threshold_labels(spark, d).withColumnRenamed("entity", "id")
+    methods["louvain"] = graph_labels(x)
+    out = None
+    for name, labels in methods.items():
+        row = cut(validity.validity_table(cut(pts.join(labels.select("id", "label"), "id").select("id", "label", "x")), name))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query()
@@ -707,13 +760,6 @@ def pca2(spark: SparkSession, d: str) -> DataFrame:
     return got.join(F.broadcast(means)).select("id", ((F.col("p")[0] - F.col("m0")) * sign[0]).alias("pc1"), ((F.col("p")[1] - F.col("m1")) * sign[1]).alias("pc2"))
 
 
-def lead_modes(x: DataFrame, k: int) -> DataFrame:
-    """(id, x): standardised entities projected on the leading ``k`` modes of their couplings."""
-    modes = plm.spectrum(plm.couplings(linalg.binarize(x, FEATURES), FEATURES, QUARTERLY.c_reg)).where(F.col("mode") <= k)
-    axes = [r.loadings for r in modes.orderBy("mode").select("loadings").collect()]  # k vectors of one entry per feature
-    return cut(x.select(F.col("entity").alias("id"), F.array(*[linalg.dot(FEATURES, v) for v in axes]).alias("x")))
-
-
 def graph_labels(x: DataFrame) -> DataFrame:
     """(id, label): communities of the entities' neighbourhood graph on the leading modes under the chosen ε, small ones merged."""
     u = lead_modes(x, QUARTERLY.graph_modes)

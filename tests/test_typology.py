@@ -444,3 +444,24 @@ def test_graph_queries_take_the_chosen_eps(spark):
     assert core.graph_components(spark, folder).select("component").distinct().count() == chosen.components
     q = cluster.modularity(cluster.louvain(core.panels.points(spark, folder).select("id"), e, 0.5), e).first()[0]
     assert core.louvain_modularity(spark, folder).first()[0] == pytest.approx(q)
+
+
+def test_kmeans_grid_finds_planted_groups(spark):
+    rng = np.random.default_rng(12)
+    at = np.array([[0, 0], [9, 0], [0, 9], [9, 9]])
+    x = np.vstack([rng.normal(size=(15, 2)) + c for c in at])
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    got = cluster.kmeans_grid(pts, [2, 4], 30).toPandas()
+    four = got[got["k"] == 4].sort_values("id")["label"].tolist()
+    assert four == [0] * 15 + [1] * 15 + [2] * 15 + [3] * 15
+    assert len(got) == 120 and set(got[got["k"] == 2]["label"]) == {0, 1}
+
+
+def test_kmeans_query_is_the_best_of_the_grid(spark):
+    from panelmodes.plans import core
+
+    assert core.QUARTERLY.n_init == 30
+    rows = core.kmeans_choice(spark, "/root/testdata/sf0.01").collect()
+    (best,) = [r for r in rows if r.chosen]
+    assert {r.k for r in rows} <= set(range(2, 9)) and len(rows) > 1 and min(min(r.sizes) for r in rows) >= 2
+    assert best.silhouette == max(r.silhouette for r in rows)
