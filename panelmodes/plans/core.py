@@ -800,11 +800,14 @@ def sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def headline(spark: SparkSession, d: str) -> DataFrame:
-    """One row: leading eigenvalue and its share, bootstrap mean and deviation, share of switching entities."""
+    """One row: leading eigenvalue and its share, bootstrap mean and deviation, share of switching entities among those in every window, mean agreement of neighbouring windows."""
     m = plm.spectral_metrics(_spectrum(spark, d)).select("lambda_max", "top_share", "pr_plus", "frustration")
     b = bootstrap_ari(spark, d).agg(F.avg("ari").alias("bootstrap_mean"), F.stddev_pop("ari").alias("bootstrap_std"))
-    s = switch_counts(spark, d).agg(F.avg((F.col("n_switches") > 0).cast("double")).alias("switchers"))
-    return m.join(F.broadcast(b)).join(F.broadcast(s))
+    labels = _dynamics(spark, d)[2]
+    kept = labels.join(panel.in_all_windows(labels), "entity", "left_semi")
+    s = dynamics.switch_counts(kept).agg(F.avg((F.col("n_switches") > 0).cast("double")).alias("switchers"))
+    w = dynamics.consecutive_ari(labels).agg(F.avg("ari").alias("mean_window_ari"))
+    return m.join(F.broadcast(b)).join(F.broadcast(s)).join(F.broadcast(w))
 
 
 @query()

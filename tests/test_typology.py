@@ -465,3 +465,16 @@ def test_kmeans_query_is_the_best_of_the_grid(spark):
     (best,) = [r for r in rows if r.chosen]
     assert {r.k for r in rows} <= set(range(2, 9)) and len(rows) > 1 and min(min(r.sizes) for r in rows) >= 2
     assert best.silhouette == max(r.silhouette for r in rows)
+
+
+def test_headline_reads_the_community_trajectories(spark):
+    from panelmodes.plans import core
+
+    folder = "/root/testdata/sf0.01"
+    got = core.headline(spark, folder).first()
+    seen = {}
+    for r in core.trajectories(spark, folder).collect():
+        seen[r.entity] = r.n_switches > 0
+    assert got.switchers == pytest.approx(sum(seen.values()) / len(seen))
+    aris = [r.ari for r in core.trajectory_ari(spark, folder).collect()]
+    assert got.mean_window_ari == pytest.approx(sum(aris) / len(aris))
