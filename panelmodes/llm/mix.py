@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmodes.operators.prefix import running_sums
+from panelmodes.session import cut
 
 
 def _targets(targets: DataFrame, total: DataFrame) -> DataFrame:
@@ -16,13 +17,43 @@ def _targets(targets: DataFrame, total: DataFrame) -> DataFrame:
     return one.withColumn("budget", F.col("target_share") * F.col("size_ratio") * F.lit(float(total_tokens)))
 
 
+def _filled(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(plan_id, source, doc_id): documents of ``left`` that fill the ``gaps`` (plan_id, source, gap).
+
+    Each round a pool takes its largest document that fits, or, where that is under half of the gap, all that fit in hash order; so every round halves the gap, until nothing
+    left fits. At last the smallest one left is taken if at least half of it fits.
+    """
+    pool = ["plan_id", "source"]
+    taken = None
+    while True:
+        open_ = left.join(F.broadcast(gaps), pool)  # a row per target
+        if taken is not None:
+            open_ = open_.join(taken.select(*pool, "doc_id"), [*pool, "doc_id"], "left_anti")
+        fits = open_.where("tokens <= gap")
+        best = cut(fits.groupBy(*pool).agg(F.max(F.struct("tokens", "_key", "doc_id")).alias("b"), F.max("gap").alias("gap")))
+        if best.isEmpty():
+            break
+        got = best.where("b.tokens * 2 >= gap").select(*pool, "b.doc_id", "b.tokens")
+        small = best.where("b.tokens * 2 < gap").select(*pool)
+        if not small.isEmpty():
+            summed = running_sums(fits.join(F.broadcast(small), pool), ("_key", "doc_id"), {"_end": F.col("tokens")}, "_pool")
+            got = got.unionByName(summed.where("_end <= gap").select(*pool, "doc_id", "tokens"))
+        got = cut(got)
+        used = got.groupBy(*pool).agg(F.sum("tokens").alias("used"))
+        gaps = cut(gaps.join(used, pool, "left").select(*pool, (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
+        taken = got if taken is None else taken.unionByName(got)
+    last = open_.where("gap > 0").groupBy(*pool).agg(F.min(F.struct("tokens", "_key", "doc_id")).alias("b"), F.max("gap").alias("gap")).where("b.tokens <= 2 * gap").select(*pool, "b.doc_id")
+    return last if taken is None else last.unionByName(taken.select(*pool, "doc_id"))
+
+
 def mix(sizes: DataFrame, targets: DataFrame, seed: int = 3) -> tuple[DataFrame, DataFrame]:
     """The drawn documents (plan_id, source, doc_id, tokens, repeats) and the targets with their budgets.
 
     ``sizes`` has doc_id, source and tokens of every document; the wanted size of a plan is its size_ratio of all their tokens, also of those without source.
     Within plan and source, documents stand in the order of a seeded hash, and a distributed prefix sum of tokens cuts at the source's budget: as many whole
-    epochs as fit, then a last one up to the document that crosses the budget, which is taken if at least half of it fits. The cut so misses the budget
-    by at most half a document, unless the source has too few tokens for ``max_repeats`` epochs: then all are used as often as allowed.
+    epochs as fit, then a last one up to the document that crosses the budget. That one is skipped, and what is left of the budget is filled with documents
+    of the rest that fit. So the cut misses the budget by less than the smallest document not used in it, unless the source has too few tokens for
+    ``max_repeats`` epochs: then all are used as often as allowed.
     Documents of NULL or unlisted source, NULL id or without tokens are never drawn. Rows of ``targets`` with NULL, NaN or non-positive fields are no
     target; of repeated ones the largest values count.
 
@@ -35,9 +66,12 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 3) -> tuple[DataFrame,
     pools = each.groupBy("plan_id", "source").agg(F.sum("tokens").alias("_all"))
     plan = goals.join(pools, ["plan_id", "source"]).withColumn("_epochs", F.least(F.floor(F.col("budget") / F.col("_all")), F.col("max_repeats")))
     plan = plan.withColumn("_rest", F.when(F.col("_epochs") < F.col("max_repeats"), F.col("budget") - F.col("_epochs") * F.col("_all")).otherwise(0.0))
-    cutting = summed.join(plan.select("plan_id", "source", "_epochs", "_rest"), ["plan_id", "source"])
-    again = (F.col("_rest") > 0) & (F.col("_end") - F.col("tokens") / 2 <= F.col("_rest"))
-    drawn = cutting.withColumn("repeats", (F.col("_epochs") + again.cast("int")).cast("int")).where("repeats > 0")
+    cutting = cut(summed.join(plan.select("plan_id", "source", "_epochs", "_rest"), ["plan_id", "source"]))
+    inside = F.col("_end") <= F.col("_rest")
+    gaps = cut(cutting.where("_rest > 0").groupBy("plan_id", "source").agg((F.max("_rest") - F.coalesce(F.max(F.when(inside, F.col("_end"))), F.lit(0))).alias("gap")))
+    more = _filled(cutting.where((F.col("_rest") > 0) & ~inside), gaps).withColumn("_more", F.lit(1))
+    again = ((F.col("_rest") > 0) & inside).cast("int") + F.coalesce("_more", F.lit(0))
+    drawn = cutting.join(more, ["plan_id", "source", "doc_id"], "left").withColumn("repeats", (F.col("_epochs") + again).cast("int")).where("repeats > 0")
     return drawn.select("plan_id", "source", "doc_id", "tokens", "repeats"), goals
 
 

@@ -49,7 +49,7 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_bins(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d).drop("fill")
+    return _packed(spark, d).drop("fill", "start_bin")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
