@@ -39,11 +39,6 @@ def real_date(raw: Column) -> Column:
     )
 
 
-def year_month(day: Column) -> Column:
-    """STRING like ``2023-07``."""
-    return F.date_format(day, "yyyy-MM")
-
-
 def month_index(day: Column) -> Column:
     """Months since year zero, so that neighbouring months differ by one."""
     return F.year(day) * 12 + F.month(day) - 1

@@ -28,6 +28,8 @@ REGION_KEYS = (
 REGION_WORDS = ("край", "область", "республика", "автономн", "санкт-петербург", "москва", "севастополь")
 HEADER_WORDS = ("муниципальные округа", "муниципальные районы", "городские округа", "муниципальные образования", "содержание", "основные понятия", "внутригородские")
 INCOME_PARTS = ("income", "dohod", "зарплат", "wage", "salary")
+SHORT_PARTS = (("share_", ""), ("growth_", "g_"), ("marketplace", "mkt"), ("transport", "trans"), ("log_total", "log tot"), ("mob_logratio", "mob"))
+INCOME_PARTS_OTHER = ("income", "urov", "зарплат", "доход")
 
 
 def stripped(c: Column) -> Column:
@@ -83,11 +85,11 @@ def digits_or_null(code: Column) -> Column:
 
 def short_feature(name: Column) -> Column:
     """Feature names abbreviated for figures, replaced in order."""
-    for a, b in (("share_", ""), ("growth_", "g_"), ("marketplace", "mkt"), ("transport", "trans"), ("log_total", "log tot"), ("mob_logratio", "mob")):
+    for a, b in SHORT_PARTS:
         name = F.replace(name, F.lit(a), F.lit(b))
     return name
 
 
-def without_income(columns: Sequence[str]) -> list[str]:
-    """Column names that mention no income."""
-    return [c for c in columns if not any(p in c.lower() for p in INCOME_PARTS)]
+def without_income(columns: Sequence[str], parts: Sequence[str] = INCOME_PARTS) -> list[str]:
+    """Column names that mention no income, by either list of name parts."""
+    return [c for c in columns if not any(p in c.lower() for p in parts)]

@@ -274,15 +274,12 @@ def modularity(labels: DataFrame, edges: DataFrame, resolution: float = 1.0) ->
     return m.join(F.broadcast(mass)).select((F.col("inside") / F.col("m") - resolution * F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-SMALL_GRAPH = 200_000  # links of a contracted graph that one worker finishes
-
-
-def louvain_parallel(vertices: DataFrame, edges: DataFrame, resolution: float = 0.5, seed: int = 42, rounds: int = 12, levels: int = 6) -> DataFrame:
+def louvain_parallel(vertices: DataFrame, edges: DataFrame, resolution: float = 0.5, seed: int = 42) -> DataFrame:
     """(id, label): communities of one graph of any size; labels ranked by size.
 
-    The same gains as the sequential method, but a seeded third of the vertices moves at a time by joins and aggregates; a level ends when three rounds running don't raise
-    modularity, then communities become the vertices of the next level. Once a contracted graph has at most SMALL_GRAPH links, one task finishes it sequentially. No task
-    holds a larger graph, and every round is cut from its lineage. Isolated vertices stay alone.
+    The same gains as the sequential method, but a seeded third of the vertices moves at a time by joins and aggregates. A level ends when no vertex wants to move, or when four rounds running
+    (four vertices in five had their turn) don't raise modularity; then communities become the vertices of the next level; the search ends with a level that raises nothing. Both always come to an end, as
+    modularity only rises. No task holds a graph, whatever its size, and every round is cut from its lineage. Isolated vertices stay alone.
     """
     sym = edges.where("src <> dst").select(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")).distinct()
     links = cut(sym.withColumn("w", F.lit(1.0)).unionByName(sym.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("w"))))
@@ -291,18 +288,19 @@ def louvain_parallel(vertices: DataFrame, edges: DataFrame, resolution: float =
     if not twice:
         return ranked_by_size(member)
 
-    def quality(state: DataFrame) -> float:
+    def quality(state: DataFrame) -> tuple[float, int]:
         a, b = state.select(F.col("id").alias("src"), F.col("com").alias("ca")), state.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
         inside = links.join(a, "src").join(b, "dst").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("i"))
-        mass = state.groupBy("com").agg(F.sum("deg").alias("m")).agg(F.sum(F.col("m") * F.col("m")).alias("m"))
+        mass = state.groupBy("com").agg(F.sum("deg").alias("m"), F.sum(F.col("wants").cast("long")).alias("w")).agg(F.sum(F.col("m") * F.col("m")).alias("m"), F.sum("w").alias("w"))
         r = inside.join(F.broadcast(mass)).first()  # one row each
-        return r.i / twice - resolution * r.m / (twice * twice)
+        return r.i / twice - resolution * r.m / (twice * twice), r.w
 
-    for level in range(levels):
-        state = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")).withColumn("com", F.col("id")))
-        start = now = quality(state)
-        idle = 0
-        for r in range(rounds):
+    level = 0
+    while True:
+        state = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")).withColumns({"com": F.col("id"), "wants": F.lit(True)}))
+        start = now = quality(state)[0]
+        idle = r = 0
+        while idle < 4:
             totals = state.groupBy(F.col("com").alias("to")).agg(F.sum("deg").alias("tot"))
             to = links.where("src <> dst").join(state.select(F.col("id").alias("dst"), F.col("com").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("w").alias("k"))
             own = state.select("id", F.col("com").alias("to"), F.lit(0.0).alias("k"))
@@ -311,31 +309,21 @@ def louvain_parallel(vertices: DataFrame, edges: DataFrame, resolution: float =
             gain = every.withColumn("g", F.round(F.col("k") - resolution * F.col("deg") * rest / twice, 9))
             best = gain.groupBy("id", "com", "deg").agg(F.max(F.struct("g", (-F.col("to")).alias("t"))).alias("b"), F.max(F.when(F.col("to") == F.col("com"), F.col("g"))).alias("stay"))
             turn = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit(r), "id"), F.lit(3)) == 0
-            moved = cut(best.select("id", "deg", F.when(turn & (F.col("b.g") > F.col("stay")), -F.col("b.t")).otherwise(F.col("com")).alias("com")))
-            got = quality(moved)
+            r += 1
+            wants = F.col("b.g") > F.col("stay")
+            moved = cut(best.select("id", "deg", F.when(turn & wants, -F.col("b.t")).otherwise(F.col("com")).alias("com"), wants.alias("wants")))
+            got, wanting = quality(moved)
+            if not wanting:
+                break
             if got > now + 1e-9:
                 state, now, idle = moved, got, 0
             else:
                 idle += 1
-                if idle == 3:
-                    break
         if now <= start + 1e-9:
             break
         names = state.select(F.col("id").alias("label"), F.col("com").alias("new"))
         member = cut(member.join(names, "label", "left").select("id", F.coalesce("new", "label").alias("label")))
         a, b = state.select(F.col("id").alias("src"), F.col("com").alias("ca")), state.select(F.col("id").alias("dst"), F.col("com").alias("cb"))
         links = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("ca").alias("src"), F.col("cb").alias("dst")).agg(F.sum("w").alias("w")))
-        if links.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
-            break
-
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(group["src"]))
-        half = group[group["src"] <= group["dst"]]
-        w = half["w"].where(half["src"] != half["dst"], half["w"] / 2)
-        got = louvain_labels(half["src"].tolist(), half["dst"].tolist(), nodes, resolution, weights=w.tolist())
-        return pd.DataFrame({"label": nodes, "new": [got[v] for v in nodes]})
-
-    if links.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
-        names = links.groupBy(F.lit(1).alias("_all")).applyInPandas(finish, "label long, new long")
-        member = member.join(names, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+        level += 1
     return ranked_by_size(cut(member))

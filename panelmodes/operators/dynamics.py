@@ -72,6 +72,18 @@ def switch_events(labels: DataFrame) -> DataFrame:
     return steps.where(F.col("from_label") != F.col("label")).select("entity", "from_window", F.col("window").alias("to_window"), "from_label", F.col("label").alias("to_label"))
 
 
+def events_with_metrics(events: DataFrame, windows: DataFrame, ari: DataFrame) -> DataFrame:
+    """``events`` (entity, from_window, to_window, from_label, to_label) with the metrics of both windows and the agreement between them.
+
+    ``windows`` is one row per window with pr_plus, frustration and n_communities, ``ari`` is (from_window, to_window, ari); an event whose window or pair isn't there keeps NULLs.
+    Both are joined by window, a few rows each.
+    """
+    metrics = ("pr_plus", "frustration", "n_communities")
+    side = lambda s: windows.select(F.col("window").alias(f"{s}_window"), *[F.col(m).alias(f"{m}_{s}") for m in metrics])
+    out = events.join(side("from"), "from_window", "left").join(side("to"), "to_window", "left").join(ari.select("from_window", "to_window", "ari"), ["from_window", "to_window"], "left")
+    return out.select("entity", "from_window", "to_window", "from_label", "to_label", *[f"{m}_{s}" for m in metrics for s in ("from", "to")], "ari")
+
+
 def consecutive_ari(labels: DataFrame, least: int = 10) -> DataFrame:
     """(from_window, to_window, n, ari) of neighbouring windows with at least ``least`` common entities."""
     nxt = labels.select("entity", (F.col("window") - 1).alias("window"), F.col("label").alias("next"))

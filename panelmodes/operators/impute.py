@@ -32,8 +32,18 @@ class Model:
     intercept: float
 
 
-def _finite(c: Column) -> Column:
-    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(1e12)), c)
+def _kept_near(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``df`` whose predictors beyond ten times the range of their middle 98 % stand at that end: an extreme or infinite value keeps its side, but doesn't outweigh all others. Sketches of bounded size."""
+    if not names:
+        return df
+    got = df.agg(*[F.percentile_approx(F.when(~F.isnan(c), F.col(c)), [0.01, 0.99], 10_000).alias(c) for c in names]).first()
+    most = 1e100  # squares of these can be summed
+    for c in names:
+        if got[c]:
+            low, high = (min(max(v, -most), most) for v in got[c])
+            wide = 10 * (high - low) or 10 * abs(high) + 1.0
+            df = df.withColumn(c, F.when(F.col(c).isNotNull() & ~F.isnan(c), F.greatest(F.least(F.col(c), F.lit(min(high + wide, most))), F.lit(max(low - wide, -most)))))
+    return df
 
 
 def fit(df: DataFrame, predictors: Sequence[str], ridge: float = 1e-3) -> Model:
@@ -74,7 +84,8 @@ def fill_by_matching(df: DataFrame, key: str, group: str, fill: Fill, predictors
     A group without a donor takes donors from all groups. Without any donor the value and donor are NULL.
 
     Ranks come from a range-partitioned sort with distributed prefix counts, so a group with most of the rows, or any number of equal
-    predictions, is no single task. ``key`` must be unique. NULL groups form one group; NULL, NaN or huge predictors stand at their mean.
+    predictions, is no single task. ``key`` must be unique. NULL groups form one group; NULL or NaN predictors stand at their mean, extreme ones at the end of
+    their side.
     """
     spark = df.sparkSession
     clean = df.select(
@@ -83,10 +94,11 @@ def fill_by_matching(df: DataFrame, key: str, group: str, fill: Fill, predictors
         fill.real.alias("_real"),
         F.when(fill.real, fill.target.cast("double")).alias("_y"),
         F.col(fill.column).alias("_seen"),
-        *[_finite(F.col(c).cast("double")).alias(f"_x{i}") for i, c in enumerate(predictors)],
+        *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(predictors)],
     ).withColumn("_real", F.coalesce("_real", F.lit(False)))
     clean = cut(clean)
     names = [f"_x{i}" for i in range(len(predictors))]
+    clean = _kept_near(clean, names)
     model = fit(clean.where("_real"), names)
     scored = clean.withColumn("_hat", score(model, names))
     residual = scored.where("_real").groupBy("_group").agg((F.sum(F.col("_y") - F.col("_hat")) / (F.count("*") + shrink)).alias("_lift"), F.count("*").alias("_have"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmodes.session import cut
+
 BLOCK = 512  # rows of one block of a block-wise pair computation
 
 
@@ -26,26 +28,29 @@ def zscore(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Dat
     return joined.withColumns(scaled).drop(*[f"_{n}_{i}" for i in range(len(columns)) for n in "ms"])
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median") -> DataFrame:
-    """(``by``, name): the exact midpoint median of ``value`` within groups, of any size.
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median", weight: str | None = None, most: int = 1_000_000, bins: int = 4096) -> DataFrame:
+    """(``by``, name): the exact midpoint median of ``value`` within groups, of any size; ``weight`` counts a row as so many.
 
-    A sketch of bounded size brackets the median within a thousandth of the ranks; one count of what lies below and the distinct values inside the bracket
-    then give the middle ranks exactly, so no task ever holds a group's values. NULL and NaN count as no value; a group without values has no row.
+    While a group has more than ``most`` rows between its bounds, its histogram of ``bins`` equal steps, summed on the map side, narrows the bounds to the steps that hold the middle
+    ranks. Then the few distinct values between the bounds give them exactly, so no task ever holds a group's values. NULL and NaN count as no value, a NULL weight or one below 1 as no row; a group
+    without values has no row.
     """
     keys = list(by)
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
-    around = rows.groupBy(*keys).agg(F.percentile_approx("_v", [0.4995, 0.5005], 10_000).alias("_b"), F.count("*").alias("_n")).where("_n > 0")
-    around = around.select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"), "_n")
-    placed = rows.join(around, keys) if keys else rows.join(F.broadcast(around))  # one row
-    # The sketch may end short of the middle by one value in small groups: those count whole.
-    small = F.col("_n") <= 2_000
-    inside = placed.where(small | (F.col("_v") >= F.col("_lo")))
-    inside = inside.where(small | (F.col("_v") <= F.col("_hi"))).groupBy(*keys, "_v", "_n").agg(F.count("*").alias("_k"))
-    below = placed.groupBy(*keys).agg(F.count(F.when(~small & (F.col("_v") < F.col("_lo")), 1)).alias("_below"))
-    counted = inside.join(below, keys) if keys else inside.join(F.broadcast(below))  # one row
-    path = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = counted.withColumn("_upto", F.col("_below") + F.sum("_k").over(path))
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & (w > 0)).select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w"))
+    near = lambda stats: rows.join(stats, keys) if keys else rows.join(F.broadcast(stats))  # noqa: E731  # one row
+    stats = cut(rows.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.lit(0).cast("long").alias("_below")).where("_n > 0"))
     first, last = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    while not stats.where((F.col("_rows") > most) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+        place = F.when(F.col("_lo") < F.col("_hi"), F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins), F.lit(bins - 1))).otherwise(0)
+        steps = near(stats).where("_v BETWEEN _lo AND _hi").groupBy(*keys, "_n", "_below", place.alias("_bin")).agg(F.sum("_w").alias("_k"), F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        path = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # at most ``bins`` rows a group
+        upto = steps.withColumn("_upto", F.col("_below") + F.sum("_k").over(path))
+        held = upto.where((F.col("_upto") > first) & (F.col("_upto") - F.col("_k") <= last))
+        stats = cut(held.groupBy(*keys, "_n").agg(F.sum("_c").alias("_rows"), F.min("_a").alias("_lo"), F.max("_b").alias("_hi"), F.min(F.col("_upto") - F.col("_k")).alias("_below")).select(*keys, "_n", "_rows", "_lo", "_hi", "_below"))
+    inside = near(stats).where("_v BETWEEN _lo AND _hi").groupBy(*keys, "_v", "_n", "_below").agg(F.sum("_w").alias("_k"))
+    path = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)  # at most ``most`` rows a group
+    upto = inside.withColumn("_upto", F.col("_below") + F.sum("_k").over(path))
     at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
     return upto.groupBy(*keys).agg(((at(first) + at(last)) / 2).alias(name))
 
@@ -156,7 +161,7 @@ def distance_quantiles(df: DataFrame, key: str, vector: str, qs: Sequence[float]
     Histograms of bounded size are summed over the blocks and refined around the wanted ranks until what is left there is short enough to
     look at value by value; the pairs themselves are never shuffled.
     """
-    packed = blocks(df, key, vector).cache()
+    packed = cut(blocks(df, key, vector))
 
     def histogram(lo: float, hi: float) -> pd.DataFrame:
         def kernel(a, la, b, lb, d, same):  # noqa: ANN001, ANN202
@@ -168,14 +173,14 @@ def distance_quantiles(df: DataFrame, key: str, vector: str, qs: Sequence[float]
 
         return over_pairs(packed, kernel, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
 
-    def values(lo: float, hi: float) -> np.ndarray:
+    def values(lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
         def kernel(a, la, b, lb, d, same):  # noqa: ANN001, ANN202
             v = d[np.triu_indices(len(a), 1)] if same else d.ravel()
             u, n = np.unique(v[(v > 0) & (v >= lo) & (v <= hi)], return_counts=True)
             return pd.DataFrame({"v": u, "n": n})
 
         got = over_pairs(packed, kernel, "v double, n long").groupBy("v").agg(F.sum("n").alias("n")).orderBy("v").toPandas()
-        return np.repeat(got["v"].to_numpy(), got["n"].to_numpy())
+        return got["v"].to_numpy(), got["n"].cumsum().to_numpy()  # different distances only, however many pairs have them
 
     def kernel(a, la, b, lb, d, same):  # noqa: ANN001, ANN202
         v = d[np.triu_indices(len(a), 1)] if same else d.ravel()
@@ -186,7 +191,7 @@ def distance_quantiles(df: DataFrame, key: str, vector: str, qs: Sequence[float]
     if not top.n:
         return [float("nan")] * len(qs)
 
-    looked: dict[tuple[float, float], np.ndarray] = {}
+    looked: dict[tuple[float, float], tuple[np.ndarray, np.ndarray]] = {}
 
     def ranked(rank: int) -> float:
         lo, hi, before, inside = 0.0, float(top.hi), 0, int(top.n)
@@ -203,7 +208,8 @@ def distance_quantiles(df: DataFrame, key: str, vector: str, qs: Sequence[float]
             before = _below(lo)
         if (lo, hi) not in looked:
             looked[lo, hi] = values(lo, hi)
-        return float(looked[lo, hi][rank - before])
+        distances, upto = looked[lo, hi]
+        return float(distances[np.searchsorted(upto, rank - before, side="right")])
 
     def _below(lo: float) -> int:
         def kernel(a, la, b, lb, d, same):  # noqa: ANN001, ANN202
@@ -215,5 +221,4 @@ def distance_quantiles(df: DataFrame, key: str, vector: str, qs: Sequence[float]
     wanted = {q: q * (2 * top.n - 1) for q in qs}
     ends = {q: (int(np.floor(at)) // 2, min(int(np.floor(at)) + 1, 2 * top.n - 1) // 2) for q, at in wanted.items()}
     value = {r: ranked(r) for r in sorted({r for pair in ends.values() for r in pair})}
-    packed.unpersist()
     return [float(value[ends[q][0]] + (value[ends[q][1]] - value[ends[q][0]]) * (wanted[q] - np.floor(wanted[q]))) for q in qs]

@@ -31,14 +31,6 @@ def keep_long_series(wide: DataFrame, least: int) -> DataFrame:
     return wide.join(enough, "entity", "left_semi")
 
 
-def population_cv(c: str, rows: Column | None = None) -> Column:
-    """Population coefficient of variation; 0 if any row lacks a value or the mean isn't positive."""
-    n = F.count("*") if rows is None else F.count(rows)
-    mean, spread = F.avg(F.when(rows, F.col(c))) if rows is not None else F.avg(c), F.stddev_pop(F.when(rows, F.col(c)) if rows is not None else F.col(c))
-    seen = F.count(F.when(rows, F.col(c)) if rows is not None else F.col(c))
-    return F.when((seen == n) & (mean > 0), spread / mean).otherwise(0.0)
-
-
 def static_features(wide: DataFrame, total: str, categories: Sequence[str], p: Params) -> DataFrame:
     """(entity, share_c..., log_total, growth_c..., cv_c...): one pass over the wide panel, one hash aggregate by entity.
 
@@ -131,19 +123,19 @@ def in_all_windows(labels: DataFrame) -> DataFrame:
     return per.join(F.broadcast(windows)).where("_own = _all").select("entity")
 
 
-def carry_down(rows: DataFrame) -> DataFrame:
+def carry_down(rows: DataFrame, keys: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Section headers carried down to the entity rows below: (line, col0, col1, col2, col3) -> (line, region, name, code, value).
 
     A row with text only in its second column is a header: heading words are skipped, region words set the region, or reset it to none if the
-    region is out of scope; anything else leaves it. An entity row needs a region, a name that is no heading and a number. One sheet is a bounded
-    unit and is read in the order of ``line``.
+    region is out of scope; anything else leaves it. An entity row needs a region, a name that is no heading and a number. A sheet of a file (``file``, ``year``, where
+    ``rows`` has them) is a unit of its own, read in the order of ``line``; no header reaches into another. ``keys`` are the ordered region keys.
     """
     from panelmodes.functions.names import digits_or_null, first_key, is_header, looks_like_region, number_or_null, stripped
 
     text = stripped(F.col("col1"))
     header = F.col("col0").isNull() & F.col("col1").isNotNull() & F.col("col3").isNull()
-    marker = F.when(header & ~is_header(text) & looks_like_region(text), F.coalesce(first_key(text), F.lit("#")))
-    sheet = [c for c in ("year",) if c in rows.columns]
+    marker = F.when(header & ~is_header(text) & looks_like_region(text), F.coalesce(first_key(text, keys) if keys else first_key(text), F.lit("#")))
+    sheet = [c for c in ("file", "year") if c in rows.columns]
     order = Window.partitionBy(*sheet, F.lit(0)).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     region = F.last(marker, ignorenulls=True).over(order)
     named = rows.withColumns({"region": region, "name": text, "code": digits_or_null(F.col("col2")), "value": number_or_null(F.col("col3"))})

@@ -3,28 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 6
-READING = f"decimal(20,{SCALE})"
-MONEY = f"decimal(27,{SCALE})"
+HUGE = 1e25  # from here on a reading counts as infinite
+READING = f"decimal(32,{SCALE})"
+MONEY = f"decimal(38,{SCALE})"
+MINUS = 1 << 32  # what an infinite reading below zero adds to ``odd``; one above zero adds 1
 
 
 def daily_totals(readings: DataFrame) -> DataFrame:
-    """(mo_id, at INT day number, total DECIMAL): equal values of one day count once, different ones add up.
+    """(mo_id, at INT day number, total DECIMAL, odd LONG): equal values of one day count once, different ones add up.
 
-    Totals are exact decimals of six places, so that differences of prefix sums carry no rounding error; a value
-    too large for them (or infinite) counts as no reading. Both steps combine on the map side.
+    Totals are exact decimals of six places, so that differences of prefix sums carry no rounding error. What no such decimal can hold, infinite values and those of HUGE and
+    more, is a reading too: its total is infinite, and ``odd`` counts it, so that it leaves a trailing period again. Both steps combine on the map side.
     """
     at = F.unix_date("day")
-    amounts = readings.select("mo_id", at.alias("at"), F.round(F.col("value"), SCALE).try_cast(READING).alias("amount")).where("amount IS NOT NULL")
-    return amounts.distinct().groupBy("mo_id", "at").agg(F.sum("amount").cast(MONEY).alias("total"))
+    values = readings.select("mo_id", at.alias("at"), "value").distinct()
+    amount = F.when(F.abs("value") < HUGE, F.round(F.col("value"), SCALE).cast(READING)).otherwise(F.lit(0).cast(READING))
+    odd = F.when(F.col("value") >= HUGE, 1).when(F.col("value") <= -HUGE, MINUS).otherwise(0).cast("long")
+    return values.groupBy("mo_id", "at").agg(F.sum(amount).cast(MONEY).alias("total"), F.sum(odd).alias("odd"))
+
+
+def as_double(total: Column, odd: Column) -> Column:
+    """A total with its infinite readings: infinite of their sign, NaN with both signs."""
+    up, down = odd.bitwiseAND(MINUS - 1) > 0, odd >= MINUS
+    return F.when(up & down, F.lit(float("nan"))).when(up, F.lit(float("inf"))).when(down, F.lit(float("-inf"))).otherwise(total.cast("double"))
 
 
 def trailing_runs(days: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """Runs of days with equal trailing totals: (mo_id, from_at, to_at, first_at, last_at, total_w, days_w for each w).
+    """Runs of days with equal trailing totals: (mo_id, from_at, to_at, first_at, last_at, total_w, odd_w, days_w for each w).
 
     The prefix sum P of an entity only changes on days of reading, so P(d) - P(d - w) only changes on days of
     reading and w days after them. The prefix is therefore forward-filled run by run instead of day by day: each reading is
@@ -34,10 +45,11 @@ def trailing_runs(days: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFram
     """
     entry = lambda w: F.struct(F.lit(w).alias("lag"), (F.col("at") + w).alias("at"))
     own_days = days.repartition("mo_id")  # bounded by the calendar by now; serves the sums and the windows
-    steps = own_days.select("mo_id", "total", F.explode(F.array(*map(entry, (0, *windows)))).alias("e"))
+    steps = own_days.select("mo_id", "total", "odd", F.explode(F.array(*map(entry, (0, *windows)))).alias("e"))
     own = lambda w: F.col("e.lag") == w
     sums = [F.sum(F.when(own(w), F.col("total"))).alias(f"s{w}") for w in (0, *windows)]
     counts = [F.sum(F.when(own(w), 1).otherwise(0)).alias(f"n{w}") for w in (0, *windows)]
+    counts += [F.sum(F.when(own(w), F.col("odd")).otherwise(0)).alias(f"o{w}") for w in (0, *windows)]
     events = steps.groupBy("mo_id", F.col("e.at").alias("at")).agg(*sums, *counts)
     path = Window.partitionBy("mo_id").orderBy("at")
     so_far = path.rowsBetween(Window.unboundedPreceding, 0)
@@ -51,6 +63,7 @@ def trailing_runs(days: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFram
         F.max(F.when(F.col("n0") > 0, F.col("at"))).over(whole).alias("last_at"),
         *[prefix(f"s{w}").alias(f"p{w}") for w in (0, *windows)],
         *[prefix(f"n{w}").alias(f"c{w}") for w in (0, *windows)],
+        *[prefix(f"o{w}").alias(f"q{w}") for w in (0, *windows)],
     )
     return filled.where(F.col("from_at") <= F.col("last_at")).select(
         "mo_id",
@@ -60,6 +73,7 @@ def trailing_runs(days: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFram
         "last_at",
         *[(F.col("p0") - F.col(f"p{w}")).alias(f"total_{w}") for w in windows],
         *[(F.col("c0") - F.col(f"c{w}")).alias(f"days_{w}") for w in windows],
+        *[(F.col("q0") - F.col(f"q{w}")).alias(f"odd_{w}") for w in windows],
     )
 
 
@@ -80,8 +94,9 @@ def daily_report(days: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame
     ``avg_w`` is the total by calendar days: by w, or by the days since the span's first while those are fewer.
     """
     rows = each_day(trailing_runs(days, windows))
-    out = [F.col(f"total_{w}").cast("double").alias(f"total_{w}") for w in windows]
-    out += [(F.col(f"total_{w}").cast("double") / F.least(F.lit(w), F.col("at") - F.col("first_at") + 1)).alias(f"avg_{w}") for w in windows]
+    total = lambda w: as_double(F.col(f"total_{w}"), F.col(f"odd_{w}"))
+    out = [total(w).alias(f"total_{w}") for w in windows]
+    out += [(total(w) / F.least(F.lit(w), F.col("at") - F.col("first_at") + 1)).alias(f"avg_{w}") for w in windows]
     return rows.select("mo_id", on_day(F.col("at")).alias("on_day"), *out, *[F.col(f"days_{w}").cast("long").alias(f"days_{w}") for w in windows])
 
 
@@ -98,7 +113,7 @@ def window_totals(days: DataFrame, windows: DataFrame) -> DataFrame:
     )
     bounds = latest.select("window", F.unix_date(F.col("w.window_start")).alias("low"), F.unix_date(F.last_day("w.window_end")).alias("high"))
     covered = bounds.where("low <= high").withColumn("month", F.explode(F.sequence(F.date_from_unix_date("low"), F.date_from_unix_date("high"), F.expr("interval 1 month"))))
-    months = days.repartition("mo_id").groupBy("mo_id", F.trunc(F.date_from_unix_date("at"), "month").alias("month")).agg(F.sum("total").alias("total"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
+    months = days.repartition("mo_id").groupBy("mo_id", F.trunc(F.date_from_unix_date("at"), "month").alias("month")).agg(F.sum("total").cast(MONEY).alias("total"), F.sum("odd").alias("odd"), F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
     path = Window.partitionBy("mo_id").orderBy("month")
     so_far = path.rowsBetween(Window.unboundedPreceding, 0)
     runs = months.select(
@@ -107,19 +122,22 @@ def window_totals(days: DataFrame, windows: DataFrame) -> DataFrame:
         F.coalesce(F.lead("month").over(path), F.add_months("month", 1)).alias("next_month"),
         F.sum("total").over(so_far).alias("p"),
         F.sum("n").over(so_far).alias("c"),
+        F.sum("odd").over(so_far).alias("q"),
         (F.sum("total").over(so_far) - F.col("total")).alias("p_before"),
         (F.sum("n").over(so_far) - F.col("n")).alias("c_before"),
+        (F.sum("odd").over(so_far) - F.col("odd")).alias("q_before"),
     )
     # The prefix of every month of the span, forward-filled through months without a reading.
     filled = runs.withColumn("m", F.explode(F.sequence("month", F.add_months("next_month", -1), F.expr("interval 1 month")))).select(
-        "mo_id", F.col("m").alias("month"), "p", "c", F.when(F.col("m") == F.col("month"), F.col("p_before")).otherwise(F.col("p")).alias("p0"), F.when(F.col("m") == F.col("month"), F.col("c_before")).otherwise(F.col("c")).alias("c0")
+        "mo_id", F.col("m").alias("month"), "p", "c", "q", F.when(F.col("m") == F.col("month"), F.col("q_before")).otherwise(F.col("q")).alias("q0"), F.when(F.col("m") == F.col("month"), F.col("p_before")).otherwise(F.col("p")).alias("p0"), F.when(F.col("m") == F.col("month"), F.col("c_before")).otherwise(F.col("c")).alias("c0")
     )
-    ends = filled.join(covered, "month").groupBy("mo_id", "window", "low", "high").agg((F.max("c") - F.min("c0")).alias("days"), F.max_by("p", "month").alias("p_end"), F.min_by("p0", "month").alias("p_start"))
+    ends = filled.join(covered, "month").groupBy("mo_id", "window", "low", "high").agg((F.max("c") - F.min("c0")).alias("days"), F.max_by("p", "month").alias("p_end"), F.min_by("p0", "month").alias("p_start"), (F.max_by("q", "month") - F.min_by("q0", "month")).alias("odd"))
+    total = as_double(F.col("p_end") - F.col("p_start"), F.col("odd"))
     return ends.select(
         "mo_id",
         "window",
-        (F.col("p_end") - F.col("p_start")).cast("double").alias("total"),
-        ((F.col("p_end") - F.col("p_start")).cast("double") / (F.col("high") - F.col("low") + 1)).alias("avg"),
+        total.alias("total"),
+        (total / (F.col("high") - F.col("low") + 1)).alias("avg"),
         F.col("days").cast("long").alias("days"),
     )
 
@@ -127,8 +145,13 @@ def window_totals(days: DataFrame, windows: DataFrame) -> DataFrame:
 def concentrated_days(days: DataFrame, near: int = 7, far: int = 30, least_days: int = 10, share: str = "0.6") -> DataFrame:
     """(mo_id, on_day): days whose ``near`` trailing total is more than ``share`` of the ``far`` one.
 
-    Counted from the ``far``-th day of the span on, and only with at least ``least_days`` days of reading in the far window.
+    Counted from the ``far``-th day of the span on, and only with at least ``least_days`` days of reading in the far window. Totals are compared exactly; an infinite far total has more than any share
+    of it below it only if it is negative and the near one isn't.
     """
+    part = Fraction(share)
+    more = F.col(f"total_{near}") * F.lit(part.denominator).cast("decimal(6,0)") > F.col(f"total_{far}") * F.lit(part.numerator).cast("decimal(6,0)")
+    odd = F.col(f"odd_{far}")
+    more = F.when(odd == 0, more).otherwise((odd.bitwiseAND(MINUS - 1) == 0) & (F.col(f"odd_{near}") == 0))
     full = F.col("first_at") + far - 1
-    dense = (F.col(f"days_{far}") >= least_days) & (F.col(f"total_{near}") > F.col(f"total_{far}") * F.lit(share).cast("decimal(3,2)"))
+    dense = (F.col(f"days_{far}") >= least_days) & more
     return each_day(trailing_runs(days, (near, far)).where(dense), full).select("mo_id", on_day(F.col("at")).alias("on_day"))

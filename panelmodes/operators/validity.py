@@ -63,6 +63,27 @@ def silhouette(sums: DataFrame) -> DataFrame:
     return silhouettes(sums).agg(F.avg("s").alias("silhouette"))
 
 
+def silhouettes_of_halves(points: DataFrame, many: int) -> DataFrame:
+    """(k, silhouette) for ``many`` labelings in two at once: bit k of ``label`` is a point's label in the k-th. Their sums of distances come from one pass over the pairs of blocks."""
+
+    def kernel(a, la, b, lb, d, same):  # noqa: ANN001, ANN202
+        out = []
+        for ids, own, others, m in ((a, la, lb, d), *(() if same else ((b, lb, la, d.T),))):
+            for k in range(many):
+                mine, theirs = own >> k & 1, others >> k & 1
+                for side in (0, 1):
+                    n = np.full(len(ids), int((theirs == side).sum()))
+                    out.append(pd.DataFrame({"id": ids, "k": k, "label": mine, "other": side, "total": m[:, theirs == side].sum(1), "n": n - (mine == side) if same else n}))
+        return pd.concat(out)
+
+    parts = over_pairs(blocks(points, "id", "x", "label"), kernel, "id long, k int, label int, other int, total double, n long")
+    sums = parts.groupBy("k", "id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0 OR label = other")
+    mean, own = F.try_divide("total", "n"), F.col("label") == F.col("other")
+    g = sums.groupBy("k", "id").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
+    s = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).otherwise(0.0)
+    return g.groupBy("k").agg(F.avg(s).alias("silhouette"))
+
+
 def avi(sums: DataFrame) -> DataFrame:
     """Mean over clusters (of two or more) of the mean distance within, by the mean over pairs of clusters of the mean distance between."""
     g = sums.groupBy("label", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
@@ -115,11 +136,14 @@ def davies_bouldin(long: DataFrame, cents: DataFrame) -> DataFrame:
     return pairs.groupBy("a").agg(F.max(F.try_divide(F.col("ra") + F.col("rb"), F.col("d"))).alias("m")).agg(F.avg("m").alias("davies_bouldin"))
 
 
+MIDS_BYTES = 64 << 20
+
+
 def s_dbw(points: DataFrame, long: DataFrame, cents: DataFrame) -> DataFrame:
     """Scatter by whole scatter, plus mean density at the midpoints of centroids. Infinite for fewer than two clusters.
 
     sigma of a set is the root of the mean squared distance to its mean. A midpoint's density counts, by the larger cluster's size, the points whose every coordinate
-    is closer than the clusters' mean sigma. The midpoints travel as one row (clusters squared times coordinates), and a point leaves a row only where it lies inside.
+    is closer than the clusters' mean sigma. The midpoints (clusters squared times coordinates) travel in rows of at most about MIDS_BYTES each, and a point leaves a row only where it lies inside.
     """
     sigma = cents.groupBy("label").agg(F.sqrt(F.sum("v")).alias("s"), F.max("n").alias("n"))
     mean_all = sigma.agg(F.avg("s").alias("stdev"), F.avg(F.when(F.col("n") > 1, F.col("s"))).alias("scatter"), F.count("*").alias("k"))
@@ -127,11 +151,17 @@ def s_dbw(points: DataFrame, long: DataFrame, cents: DataFrame) -> DataFrame:
     ids = cents.select("label", "d", "c", "n")
     two = ids.select(F.col("label").alias("b"), "d", F.col("c").alias("y"), F.col("n").alias("m"))
     mids = ids.withColumnRenamed("label", "a").join(two, "d").where("a < b").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("d", ((F.col("c") + F.col("y")) / 2).alias("mid")))).alias("at"), F.max(F.greatest("n", "m")).alias("most"))
-    one_row = mids.agg(F.collect_list(F.struct("a", "b", "most", F.col("at.mid").alias("mid"))).alias("mids"), F.count("*").alias("pairs"))
-    seen = points.select("id", F.col("x").cast("array<double>").alias("x")).join(F.broadcast(one_row.select("mids"))).join(F.broadcast(mean_all.select("stdev")))
-    near = lambda m: F.forall(F.zip_with(m["mid"], F.col("x"), lambda p, q: F.abs(q - p) < F.col("stdev")), lambda t: t)
-    hits = seen.select(F.explode(F.filter("mids", near)).alias("m")).agg(F.sum(1.0 / F.col("m.most")).alias("hit"))
-    joined = mean_all.join(F.broadcast(whole)).join(F.broadcast(hits)).join(F.broadcast(one_row.select("pairs")))
+    mids = cut(mids)
+    shape = mids.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.size("at")), F.lit(0)).alias("numbers")).first()
+    parts = max(1, -(-shape.numbers * 8 // MIDS_BYTES))  # as many broadcasts of bounded size as the midpoints need
+    hits = None
+    for k in range(parts):
+        part = mids.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == k).agg(F.collect_list(F.struct("a", "b", "most", F.col("at.mid").alias("mid"))).alias("mids"))
+        seen = points.select("id", F.col("x").cast("array<double>").alias("x")).join(F.broadcast(part)).join(F.broadcast(mean_all.select("stdev")))
+        near = lambda m: F.forall(F.zip_with(m["mid"], F.col("x"), lambda p, q: F.abs(q - p) < F.col("stdev")), lambda t: t)
+        hit = seen.select(F.explode(F.filter("mids", near)).alias("m")).agg(F.sum(1.0 / F.col("m.most")).alias("hit"))
+        hits = hit if hits is None else hits.unionByName(hit)
+    joined = mean_all.join(F.broadcast(whole)).join(F.broadcast(hits.agg(F.sum("hit").alias("hit")))).withColumn("pairs", F.lit(shape.pairs))
     density = F.coalesce(F.try_divide(F.coalesce("hit", F.lit(0.0)), F.col("pairs")), F.lit(0.0))
     return joined.select(F.when(F.col("k") < 2, F.lit(float("inf"))).otherwise(F.coalesce("scatter", F.lit(0.0)) / (F.col("all") + 1e-12) + density).alias("s_dbw"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import PCA
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelmodes.config import QUARTERLY
-from panelmodes.functions import dates, names
+from panelmodes.functions import dates, markup, names
 from panelmodes.operators import audit, cluster, dynamics, linalg, panel, plm, stability, validity
 from panelmodes.plans import panels
 from panelmodes.plans.panels import CATS, FEATURES, TOTAL, WINDOW_FEATURES
@@ -218,6 +219,21 @@ def window_ari(spark: SparkSession, d: str) -> DataFrame:
     return rounded(dynamics.consecutive_ari(cut(window_labels(spark, d))))
 
 
+@query(
+    f"""WITH {panels.WLABEL_SQL}, {_STEPS}, ev AS (SELECT entity, prev_window AS fw, "window" AS tw, prev AS fl, label AS tl FROM steps WHERE prev <> label),
+    pairing AS (SELECT x."window" AS w, x.label AS a, y.label AS b FROM wlab x JOIN wlab y ON x.entity = y.entity AND y."window" = x."window" + 1), {_ARI.format(k="w,")},
+    agree AS (SELECT w, round({_ARI_VALUE}, 6) + 0.0 AS ari FROM tot JOIN sa USING (w) JOIN sb USING (w) WHERE tot.n >= 10),
+    met AS (SELECT "window" AS w, arg_max(pr_plus, computed_at) AS pr, arg_max(frustration, computed_at) AS fr, arg_max(n_communities, computed_at) AS nc FROM dynamic_summary GROUP BY 1)
+    SELECT entity, fw AS from_window, tw AS to_window, fl::BIGINT AS from_label, tl::BIGINT AS to_label, round(f.pr, 6) + 0.0 AS pr_plus_from, round(t.pr, 6) + 0.0 AS pr_plus_to, round(f.fr, 6) + 0.0 AS frustration_from, round(t.fr, 6) + 0.0 AS frustration_to,
+    f.nc::BIGINT AS n_communities_from, t.nc::BIGINT AS n_communities_to, CASE WHEN tw = fw + 1 THEN ari END AS ari FROM ev LEFT JOIN met f ON f.w = fw LEFT JOIN met t ON t.w = tw LEFT JOIN agree ON agree.w = fw"""
+)
+def switch_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Switches with the stored metrics of both windows (of several computations the latest) and the agreement between the windows."""
+    labels = cut(window_labels(spark, d))
+    stored = table(spark, d, "dynamic_summary").groupBy("window").agg(*[F.max_by(c, "computed_at").alias(c) for c in ("pr_plus", "frustration", "n_communities")])
+    return rounded(dynamics.events_with_metrics(dynamics.switch_events(labels), stored, dynamics.consecutive_ari(labels)))
+
+
 # A small sheet, line by line: columns 0 to 3.
 SHEET = (
     (1, None, "Содержание", None, None),
@@ -258,6 +274,28 @@ def carry_down(spark: SparkSession, d: str) -> DataFrame:
     return rounded(panel.carry_down(sheet))
 
 
+_CARD_KEYS = "CASE " + " ".join(f"WHEN contains(replace(lower(t), 'ё', 'е'), '{k}') THEN '{v}'" for k, v in PROJECT_REGIONS) + " END"
+
+
+@query(
+    f"""WITH c AS (SELECT mo_id, region_raw AS file, regexp_replace(region_raw, '^{_WS}+|{_WS}+$', '', 'g') AS t, regexp_replace(mo, '^{_WS}+|{_WS}+$', '', 'g') AS name, residents FROM mo_cards WHERE region_raw IS NOT NULL),
+    m AS (SELECT *, CASE WHEN NOT ({_HEAD}) AND ({_REG}) THEN coalesce({_CARD_KEYS}, '#') END AS region FROM c)
+    SELECT file, mo_id AS line, region, name, residents::DOUBLE AS value FROM (SELECT m.*, name AS t FROM (SELECT * EXCLUDE (t) FROM m) m) WHERE region IS NOT NULL AND region <> '#' AND name <> '' AND residents IS NOT NULL AND NOT ({_HEAD})"""
+)
+def carry_down_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The register as sheets, one for each spelling of a region with its header before the entities: every header reaches its own sheet only."""
+    cards = table(spark, d, "mo_cards").where("region_raw IS NOT NULL")
+    heads = cards.select(F.col("region_raw").alias("file")).distinct().select("file", F.lit(-1).cast("long").alias("line"), F.lit(None).cast("string").alias("col0"), F.col("file").alias("col1"), F.lit(None).cast("string").alias("col2"), F.lit(None).cast("string").alias("col3"))
+    rows = cards.select(F.col("region_raw").alias("file"), F.col("mo_id").alias("line"), F.col("mo_id").cast("string").alias("col0"), F.col("mo").alias("col1"), F.lit(None).cast("string").alias("col2"), F.col("residents").cast("string").alias("col3"))
+    return rounded(panel.carry_down(heads.unionByName(rows), PROJECT_REGIONS).select("file", "line", "region", "name", "value"))
+
+
+@query(f"""WITH {panels.PANEL_SQL} SELECT entity, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value) / avg(value), 6) AS cv FROM panel WHERE category = 'promo' AND value IS NOT NULL GROUP BY 1""")
+def seasonality(spark: SparkSession, d: str) -> DataFrame:
+    """How much each entity's periods of one category vary; its three largest are in ``topk_months``."""
+    return rounded(audit.seasonality(panels.panel_l(spark, d), "promo").withColumn("mean", F.round("mean", 4)))
+
+
 @query(f"""WITH {panels.PANEL_SQL} SELECT entity, place, period::VARCHAR AS period, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY value DESC, period) AS place FROM panel WHERE category = 'total' AND value IS NOT NULL) WHERE place <= 3""")
 def topk_months(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.top_periods(panels.panel_l(spark, d), TOTAL))
@@ -346,6 +384,46 @@ def feature_names_short(spark: SparkSession, d: str) -> DataFrame:
     return names_of.select("feature", names.short_feature(F.col("feature")).alias("short"))
 
 
+_SHORT = "feature"
+for _a, _b in names.SHORT_PARTS:
+    _SHORT = f"replace({_SHORT}, '{_a}', '{_b}')"
+_ALL_NAMES = ", ".join(f"'{c}'" for c in ("share_health", "share_marketplace", "share_food", "share_grocery", "share_transport", "log_total", "growth_health", "growth_marketplace", "growth_food", "growth_grocery", "growth_transport", "cv_health", "cv_marketplace", "cv_food", "cv_grocery", "cv_transport", "mob_logratio"))
+
+
+@query(
+    f"""WITH l AS (SELECT unnest([{_ALL_NAMES}]) AS feature, unnest([{_ALL_NAMES.replace("'", "")}]) AS v FROM features_szfo_v2_final)
+    SELECT feature, {_SHORT} AS short, count(*) FILTER (WHERE v IS NOT NULL AND NOT isnan(v)) AS n, round(avg(v) FILTER (WHERE NOT isnan(v)), 6) + 0.0 AS mean FROM l GROUP BY 1"""
+)
+def feature_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every feature that name-based pruning keeps of the table's columns, with its short name, values and mean."""
+    t = table(spark, d, "features_szfo_v2_final")
+    kept = audit.require_features(names.without_income(names.without_income(panel.feature_columns(t.drop("feat_id", "mo_id"), sorted(QUARTERLY.meta))), names.INCOME_PARTS_OTHER), 17)
+    long = t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(c), F.lit(None).cast("double")).alias("v")) for c in kept])).alias("f")).select("f.*")
+    return rounded(long.groupBy("feature").agg(F.count("v").alias("n"), F.avg("v").alias("mean")).select("feature", names.short_feature(F.col("feature")).alias("short"), "n", "mean"))
+
+
+def _markup_sql() -> str:
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    out = "text"
+    for old, new in markup.GLYPHS:
+        out = f"replace({out}, {q(old)}, {q(new)})"
+    for pattern, new in markup.PATTERNS:
+        out = f"regexp_replace({out}, {q(pattern)}, {q(new.replace('@', chr(92)))}, 'g')"
+    for old, new in markup.MARKS:
+        out = f"replace({out}, {q(old)}, {q(new)})"
+    out = f"regexp_replace({out}, {q(markup.HEADING)}, '')"
+    for old, new in markup.FORMULAS:
+        out = f"replace({out}, {q(old)}, {q(new)})"
+    return out
+
+
+@query(f"""SELECT doc_id, length(p)::BIGINT AS n_plain, sha256(p) AS plain_hash FROM (SELECT doc_id, {_markup_sql()} AS p FROM documents)""")
+def plain_text(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts without their light markup; their hash stands for them."""
+    p = markup.plain_text(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(p).cast("long").alias("n_plain"), F.sha2(p, 256).alias("plain_hash"))
+
+
 # --- standardised features and labels ----------------------------------------------------------------------------
 
 
@@ -390,6 +468,20 @@ def profile_vs_poles(spark: SparkSession, d: str) -> DataFrame:
     return rounded(audit.profile_vs_poles(f, FEATURES))
 
 
+SIGNS = {c: (1 if w > 0 else -1) for c, w in zip(FEATURES, LOADING) if not c.startswith("growth")}
+_SIGN = "CASE feature " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in SIGNS.items()) + " ELSE 0 END"
+
+
+@query(
+    f"""WITH {panels.FEATURES_SQL}, l AS (UNPIVOT (SELECT entity, {', '.join(FEATURES)} FROM features) ON {', '.join(FEATURES)} INTO NAME feature VALUE v), st AS (SELECT feature, median(v) AS m FROM l GROUP BY 1)
+    SELECT entity, feature, CASE WHEN {_SIGN} = 0 THEN 'neutral' WHEN (v > m) = ({_SIGN} > 0) THEN 'toward' ELSE 'away' END AS direction FROM l JOIN st USING (feature)"""
+)
+def pole_direction(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each feature of each entity lies toward the pole its loading points to; growth features have no sign."""
+    f = cut(panels.features_l(spark, d).join(split_l(spark, d).select("entity", "label"), "entity"))
+    return audit.directions(audit.profile_vs_poles(f, FEATURES), SIGNS).select("entity", "feature", "direction")
+
+
 @query(
     f"""WITH {panels.WLABEL_SQL}, {_STEPS}, ev AS (SELECT entity, prev_window AS fw, "window" AS tw FROM steps WHERE prev <> label),
     a AS (SELECT ev.entity, ev.tw, p.category, avg(p.value) FILTER (WHERE p.period >= f.window_start AND p.period < f.window_end) AS before, avg(p.value) FILTER (WHERE p.period >= t.window_start AND p.period < t.window_end) AS after
@@ -617,6 +709,12 @@ def bootstrap_ari(spark: SparkSession, d: str) -> DataFrame:
     return stability.bootstrap_ari(cut(panels.scaled_l(spark, d)), FEATURES, QUARTERLY.c_reg, QUARTERLY.bootstrap)
 
 
+@query()
+def bootstrap_ari_poisson(spark: SparkSession, d: str) -> DataFrame:
+    """The same with draws that every row makes for itself, for tables of any size."""
+    return stability.bootstrap_ari(cut(panels.scaled_l(spark, d)), FEATURES, QUARTERLY.c_reg, QUARTERLY.bootstrap, "poisson")
+
+
 @query()
 def creg_sweep(spark: SparkSession, d: str) -> DataFrame:
     return stability.regularisation_sweep(cut(panels.scaled_l(spark, d)), FEATURES, QUARTERLY.c_grid, QUARTERLY.c_reg)
@@ -783,19 +881,30 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _bundle(name: str, rows: DataFrame, cols: Sequence[str], reps: int = 0) -> DataFrame:
+    """One row: spectral metrics of the standardised ``rows``, sizes and silhouette of their threshold typology and, with ``reps``, mean and deviation of the bootstrap's agreement."""
+    z = cut(linalg.zscore(rows.select("entity", *cols), cols))
+    binary = linalg.binarize(z, cols)
+    modes = plm.spectrum(plm.couplings(binary, cols, QUARTERLY.c_reg))
+    labels = cut(stability.labels_by_group(binary.withColumn("_all", F.lit(0)), z.withColumn("_all", F.lit(0)), cols, "_all", QUARTERLY.c_reg).select(F.col("entity").alias("id"), "label"))
+    sizes = labels.agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 0, 1)).alias("size_0"), F.count(F.when(F.col("label") == 1, 1)).alias("size_1"))
+    pts = z.select(F.col("entity").alias("id"), F.array(*[F.col(c) for c in cols]).alias("x")).join(labels, "id").select("id", "label", "x")
+    out = plm.spectral_metrics(modes).join(F.broadcast(sizes)).join(F.broadcast(validity.silhouette(validity.distance_sums(pts))))  # one row each
+    if reps:
+        out = out.join(F.broadcast(stability.bootstrap_ari(z, cols, QUARTERLY.c_reg, reps).agg(F.avg("ari").alias("bootstrap_mean"), F.stddev_pop("ari").alias("bootstrap_std"))))
+    return cut(out.select(F.lit(name).alias("rows"), *[c for c in out.columns]))
+
+
 @query()
 def sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    """The typology with all entities against that of entities whose supplier has a positive balance."""
+    """The typology of all entities, of those whose supplier has a positive balance, and the difference of the two (matched less all)."""
     x = cut(panels.features_l(spark, d))
     kept = x.join(table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("entity")), "entity", "left_semi")
-    out = None
-    for name, rows in (("all", x), ("matched", kept)):
-        z = linalg.zscore(rows, FEATURES)
-        modes = plm.spectrum(plm.couplings(linalg.binarize(z, FEATURES), FEATURES, QUARTERLY.c_reg))
-        n = rows.agg(F.count("*").alias("n"))
-        row = plm.spectral_metrics(modes).join(F.broadcast(n)).select(F.lit(name).alias("rows"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    full, part = (_bundle(name, rows, FEATURES, 20) for name, rows in (("all", x), ("matched", kept)))
+    numbers = [c for c in full.columns if c != "rows"]
+    one = full.select(*[F.col(c).alias(f"{c}_a") for c in numbers]).join(F.broadcast(part.select(*[F.col(c).alias(f"{c}_b") for c in numbers])))  # one row each
+    delta = one.select(F.lit("delta").alias("rows"), *[(F.col(f"{c}_b") - F.col(f"{c}_a")).alias(c) for c in numbers])
+    return full.unionByName(part).unionByName(delta)
 
 
 @query()
@@ -812,16 +921,24 @@ def headline(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ablations(spark: SparkSession, d: str) -> DataFrame:
-    """(variant, lambda_max, pr_plus, frustration, ...): features without and with a growth block, and with a proxy for the index where it is zero."""
+    """(variant, lambda_max, pr_plus, frustration, sizes, silhouette, ...) of the typology by how the index enters: not at all, with its unknown values (those not above zero) imputed by the upper
+    quartile or by a regression on size, or only as what a regression on size leaves of it; and without the growth features."""
     x = cut(panels.features_l(spark, d))
-    variants: dict[str, tuple[DataFrame, tuple[str, ...]]] = {"all": (x, FEATURES), "no_growth": (x, tuple(c for c in FEATURES if not c.startswith("growth"))), "no_index": (x, FEATURES[:-1])}
     known = x.withColumn("index", F.when(F.col("mob_logratio") > 0, F.col("mob_logratio")))
     proxied, _ = audit.income_proxy(known, "index", ["log_total", "share_small"])
-    variants["proxied_index"] = (proxied.withColumn("mob_logratio", F.col("index_proxy")), FEATURES)
+    proxied = cut(proxied)
+    with_index = lambda df, c: df.withColumn("mob_logratio", F.col(c))
+    variants: dict[str, tuple[DataFrame, tuple[str, ...]]] = {
+        "all": (x, FEATURES),
+        "no_growth": (x, tuple(c for c in FEATURES if not c.startswith("growth"))),
+        "no_index": (x, FEATURES[:-1]),
+        "q75_index": (with_index(audit.quantile_imputed(known, "index"), "index_q"), FEATURES),
+        "proxied_index": (with_index(proxied, "index_proxy"), FEATURES),
+        "residual_index": (with_index(audit.residual(proxied, "index_proxy", "log_total"), "index_proxy_residual"), FEATURES),
+    }
     out = None
     for name, (rows, cols) in variants.items():
-        z = linalg.zscore(rows, cols)
-        row = plm.spectral_metrics(plm.spectrum(plm.couplings(linalg.binarize(z, cols), cols, QUARTERLY.c_reg))).select(F.lit(name).alias("variant"), "*")
+        row = _bundle(name, rows, cols).withColumnRenamed("rows", "variant")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -839,20 +956,24 @@ def sliding_event_windows(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this run's own in the shared folder, so that two runs never meet."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("SELECT mo_id, mo, region_raw, residents::BIGINT AS residents FROM mo_cards")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """A table written as delimited text and read again."""
-    path = f"{ensure_checkpoint_dir(spark)}/csv_round_trip"
-    cards = table(spark, d, "mo_cards").select("mo_id", "mo", "region_raw", F.col("residents").cast("long").alias("residents"))
-    cards.write.mode("overwrite").csv(path, header=True, quoteAll=True, nullValue="\\N", emptyValue="")
-    return spark.read.csv(path, header=True, schema="mo_id long, mo string, region_raw string, residents long", nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    """A table written as delimited text with mark by the library's sink and read again by its source."""
+    path = _scratch(spark, "csv_round_trip")
+    archives.write_csv(table(spark, d, "mo_cards").select("mo_id", "mo", "region_raw", F.col("residents").cast("long").alias("residents")), path)
+    return archives.read_csv(spark, path, "mo_id long, mo string, region_raw string, residents long")
 
 
 @query("""SELECT "window"::BIGINT AS "window", n_mo::BIGINT AS n_mo, round(pr_plus, 6) AS pr_plus, round(top_evals[1], 6) AS first_eval, len(top_evals)::BIGINT AS n_evals FROM dynamic_summary""")
 def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Nested summaries written as JSON, read by schema and exploded."""
-    path = f"{ensure_checkpoint_dir(spark)}/json_round_trip"
+    """Nested summaries written as JSON, a document a line, read by schema and exploded."""
+    path = _scratch(spark, "json_round_trip")
     w = table(spark, d, "dynamic_summary").select("window", "n_mo", "pr_plus", "top_evals")
-    archives.write_json(w.agg(F.collect_list(F.struct(*w.columns)).alias("windows")), path)  # a summary: one entry per window
-    got = archives.read_windows(spark, path, "windows array<struct<window:int,n_mo:int,pr_plus:double,top_evals:array<double>>>")
+    archives.write_json(w.select(F.array(F.struct(*w.columns)).alias("windows")), path)
+    got = archives.read_windows(spark, path, "windows array<struct<window:int,n_mo:int,pr_plus:double,top_evals:array<double>>>", whole=False)
     return rounded(got.select("window", "n_mo", "pr_plus", F.col("top_evals")[0].alias("first_eval"), F.size("top_evals").alias("n_evals")))

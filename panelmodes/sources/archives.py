@@ -100,27 +100,30 @@ def sheet_rows(data: bytes, sheet: str) -> list[tuple[int, list[str | None]]]:
 
 
 def read_sheets(spark: SparkSession, path: str, sheets: Sequence[str], width: int = 4) -> DataFrame:
-    """(year STRING, line INT, col0..): the named sheets of all workbooks at ``path``, without header, short rows padded with NULL."""
+    """(file STRING, year STRING, line INT, col0..): the named sheets of all workbooks at ``path``, without header, short rows padded with NULL. Lines count within file and sheet."""
     names = list(sheets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
+            for file, data in zip(batch["path"], batch["content"]):
                 for s in names:
-                    rows = [(s, n, *(cells + [None] * width)[:width]) for n, cells in sheet_rows(bytes(data), s)]
-                    yield pd.DataFrame(rows, columns=["year", "line", *(f"col{i}" for i in range(width))], dtype=object)
+                    rows = [(file, s, n, *(cells + [None] * width)[:width]) for n, cells in sheet_rows(bytes(data), s)]
+                    yield pd.DataFrame(rows, columns=["file", "year", "line", *(f"col{i}" for i in range(width))], dtype=object)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "year string, line int, " + ", ".join(f"col{i} string" for i in range(width)))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, year string, line int, " + ", ".join(f"col{i} string" for i in range(width)))
 
 
 def read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """Plain delimited text with header, UTF-8 with or without mark, by an explicit schema; splittable and pruned by Spark's own reader."""
-    return spark.read.csv(path, header=True, schema=columns)
+    """Delimited text with header, UTF-8 with or without mark, by an explicit schema; pruned by Spark's own reader. Quoted fields may hold line ends, so a file is read by one task."""
+    return spark.read.csv(path, header=True, schema=columns, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', multiLine=True)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """Delimited text with header. With ``mark`` every file begins with the UTF-8 mark, as spreadsheets expect it: it stands before the first column's name. NULL is \\N, so that empty text stays text."""
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    df.write.mode("overwrite").csv(path, header=True, nullValue="\\N", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -128,6 +131,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_windows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per window of multi-line summaries with an array ``windows``."""
-    return spark.read.json(path, schema=schema, multiLine=True).select(F.explode("windows").alias("w")).select("w.*")
+def read_windows(spark: SparkSession, path: str, schema: str, whole: bool = True) -> DataFrame:
+    """One row per window of summaries with an array ``windows``: ``whole`` files of one document each, or one document a line, which many tasks read."""
+    return spark.read.json(path, schema=schema, multiLine=whole).select(F.explode("windows").alias("w")).select("w.*")

@@ -145,7 +145,27 @@ def test_trailing_edge_cases(spark):
     assert rolling.daily_report(rolling.daily_totals(usable_readings(spend(spark, [])))).count() == 0
     rows = [(1, 1, "2023-01-01", "Все категории", float("inf"), T0), (2, 1, "2023-01-02", "Все категории", 3.0, T0), (3, 2, "2023-01-02", "Все категории", -4.0, T0)]
     got = rolling.daily_report(rolling.daily_totals(usable_readings(spend(spark, rows)))).collect()
-    assert sorted((r.mo_id, r.on_day, r.total_7) for r in got) == [(1, "2023-01-02", 3.0), (2, "2023-01-02", -4.0)]
+    assert sorted((r.mo_id, r.on_day, r.total_7) for r in got) == [(1, "2023-01-01", float("inf")), (1, "2023-01-02", float("inf")), (2, "2023-01-02", -4.0)]
+
+
+def test_huge_and_close_readings(spark):
+    """Infinite readings leave a period again, huge finite ones are exact or infinite, and values equal to six places are still two."""
+    at = lambda k: (dt.date(2023, 1, 1) + dt.timedelta(k)).isoformat()
+    values = {0: [1e15, 2.0], 3: [float("inf")], 4: [float("-inf")], 9: [1e-7, 2e-7, 2e-7], 20: [5e24, 1.0], 21: [1e25], 25: [-1e300]}
+    rows = [(10 * k + i, 1, at(k), "Все категории", v, T0) for k, vs in values.items() for i, v in enumerate(vs)]
+    totals = rolling.daily_totals(usable_readings(spend(spark, rows)))
+    got = {r.on_day: r for r in rolling.daily_report(totals, (3, 7)).collect()}
+    assert len(got) == 26 and got[at(0)].total_3 == 1e15 + 2 and got[at(1)].days_3 == 1
+    assert got[at(3)].total_3 == float("inf") and math.isnan(got[at(4)].total_3) and got[at(6)].total_3 == float("-inf") and got[at(8)].total_3 == 0.0 and math.isnan(got[at(9)].total_7)
+    assert got[at(20)].total_3 == 5e24 and got[at(21)].total_3 == float("inf") and got[at(25)].total_7 != got[at(25)].total_7 and got[at(25)].total_3 == float("-inf")
+    days = {r["at"]: r for r in totals.collect()}
+    assert len(days) == 7
+    w = spark.createDataFrame([(1, dt.date(2023, 1, 1), dt.date(2023, 1, 1), T0)], "window int, window_start date, window_end date, computed_at timestamp")
+    assert math.isnan(rolling.window_totals(totals, w).first().total)
+    # Infinite totals make no case, but a negative infinite far total does where the near one is finite.
+    dense = [(k, 1, at(k), "Все категории", float("-inf") if k == 0 else 1.0, T0) for k in range(40)]
+    found = {r.on_day for r in rolling.concentrated_days(rolling.daily_totals(usable_readings(spend(spark, dense)))).collect()}
+    assert found == {at(29)}
 
 
 def test_window_totals(spark):

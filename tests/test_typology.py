@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmodes.config import MONTHLY, Params
-from panelmodes.functions import names
+from panelmodes.functions import markup, names
 from panelmodes.operators import audit, cluster, dynamics, linalg, panel, plm, stability, validity
 from panelmodes.sources import archives, labels
 from panelmodes.streaming import panel_stream
@@ -273,9 +273,9 @@ def test_parallel_louvain_is_as_good(spark):
     rng = np.random.default_rng(4)
     edges = [(a, b) for a, b in itertools.combinations(range(50), 2) if rng.random() < (0.6 if a // 10 == b // 10 else 0.03)]
     v, e = spark.createDataFrame([(i,) for i in range(51)], "id long"), spark.createDataFrame(edges, "src long, dst long")
-    one, two = (cluster.modularity(f(v, e, 1.0), e).first()[0] for f in (cluster.louvain, cluster.louvain_parallel))
-    assert two >= 0.95 * one and one > 0.5
     got = cluster.louvain_parallel(v, e, 1.0)
+    one, two = (cluster.modularity(labels, e).first()[0] for labels in (cluster.louvain(v, e, 1.0), got))
+    assert two >= 0.95 * one and one > 0.5
     assert got.count() == 51 and cluster.louvain_parallel(v, e.limit(0), 1.0).select("label").distinct().count() == 51
 
 
@@ -295,7 +295,28 @@ def test_exact_median(spark, n):
     v = np.random.default_rng(n).normal(size=n).round(3 if n % 2 else 9)
     rows = [("a", float(x)) for x in v] + [("b", 2.0)] * 3 + [("b", 5.0)] * 3 + [("c", None), ("d", float("nan")), ("d", 1.0)] + [("e", 1.0)] * 4000 + [("e", 0.0)] * 3999
     got = {r.k: r["median"] for r in linalg.exact_median(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
-    assert got == {"a": float(np.median(v)), "b": 3.5, "d": 1.0, "e": 1.0}
+    want = {"a": float(np.median(v)), "b": 3.5, "d": 1.0, "e": 1.0}
+    df = spark.createDataFrame(rows, "k string, v double")
+    narrowed = {r.k: r["median"] for r in linalg.exact_median(df, "v", ["k"], most=50, bins=8).collect()}  # many rounds of bounds
+    assert got == want and narrowed == want
+    assert linalg.exact_median(df.where("k = 'a'"), "v", most=10, bins=4).first()[0] == want["a"]
+
+
+def test_weighted_median(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v), int(w)) for k, v, w in zip(rng.integers(0, 3, 500), rng.normal(size=500).round(2), rng.integers(-1, 4, 500))] + [(0, 1e300, 1), (0, -1e308, 1), (1, 0.5, None)]
+    df = spark.createDataFrame(rows, "k int, v double, w int")
+    want = {k: float(np.median(np.repeat([v for q, v, w in rows if q == k and w and w > 0], [w for q, v, w in rows if q == k and w and w > 0]))) for k in range(3)}
+    for most in (1_000_000, 20):
+        assert {r.k: r["median"] for r in linalg.exact_median(df, "v", ["k"], weight="w", most=most, bins=16).collect()} == want
+
+
+def test_quantiles_of_many_equal_distances(spark):
+    """A million pairs at few different distances: the driver sees the distances only."""
+    pts = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(1500)], "id long, x array<double>")
+    d = np.array([1.0] * (500 * 500 * 2) + [2.0] * (500 * 500))
+    qs = [0.1, 0.5, 0.66, 0.67, 0.9]
+    assert linalg.distance_quantiles(pts, "id", "x", qs, small=100) == pytest.approx([float(np.quantile(np.repeat(d, 2), q)) for q in qs])
 
 
 def test_bootstrap_equals_numpy(spark):
@@ -318,6 +339,19 @@ def test_bootstrap_equals_numpy(spark):
         assert got[rep] == pytest.approx(ari(split(x[at]).tolist(), base[at].tolist()))
     sweep = {r.c: r for r in stability.regularisation_sweep(df, cols, (0.1, 0.2)).collect()}
     assert sweep[0.2].ari == 1.0 and set(sweep) == {0.1, 0.2}
+    lab = spark.createDataFrame([(i, int(base[i]), [*map(float, x[i])]) for i in range(40)], "id long, label int, x array<double>")
+    assert sweep[0.2].silhouette == pytest.approx(validity.silhouette(validity.distance_sums(lab)).first()[0])
+
+
+def test_poisson_draws(spark):
+    placed = spark.range(4000).withColumnRenamed("id", "entity")
+    rows = stability.poisson_weights(placed, 5).groupBy("rep").agg(F.sum("weight").alias("n"), F.count("*").alias("k"), F.max("weight").alias("most")).collect()
+    assert len(rows) == 5 and all(abs(r.n - 4000) < 300 and abs(r.k - 4000 * (1 - np.exp(-1))) < 200 and r.most < 10 for r in rows)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate((x - x.mean(0)) / x.std(0))], "entity long, a double, b double, c double")
+    got = stability.bootstrap_ari(df, ["a", "b", "c"], 0.2, 6, "poisson").collect()
+    assert len(got) == 6 and all(-1 <= r.ari <= 1 and 100 < r.n < 300 for r in got)
 
 
 def test_switches(spark):
@@ -365,10 +399,93 @@ def test_workbook_and_carry_down(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Республика Карелия</t></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", sheet)
     rows = archives.read_sheets(spark, str(tmp_path), ["2020", "2021"])
-    got = [tuple(r) for r in panel.carry_down(rows).collect()]
+    got = [tuple(r)[1:] for r in panel.carry_down(rows).collect()]
     assert got == [("2020", 2, "Карелия", "Кемский район", "86", 31.5)]
 
 
+def test_headers_stay_in_their_file(spark, tmp_path):
+    """Two workbooks with a sheet of the same name: their lines interleave, their headers don't."""
+    for name, region in (("a", "Новгородская область"), ("b", "Псковская область")):
+        lines = "".join(f'<row r="{3 * i + 1 + (name == "b")}"><c r="B1" t="inlineStr"><is><t>{region}</t></is></c></row><row r="{3 * i + 3}"><c r="A1"><v>{i}</v></c><c r="B1" t="inlineStr"><is><t>{name}{i} район</t></is></c><c r="D1"><v>{i}</v></c></row>' for i in range(4))
+        with zipfile.ZipFile(tmp_path / f"{name}.xlsx", "w") as z:
+            z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="2020" sheetId="1" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>')
+    got = panel.carry_down(archives.read_sheets(spark, str(tmp_path), ["2020"])).collect()
+    assert len(got) == 8 and {(r.name[0], r.region) for r in got} == {("a", "НовОбл"), ("b", "ПскОбл")}
+
+
+def test_csv_with_mark_round_trip(spark, tmp_path):
+    rows = [("а", "x, y", 1), ("", None, 2), (None, 'say "hi"', 3), (" b ", "two\nlines", None), ("\\N-", "", 4)]
+    archives.write_csv(spark.createDataFrame(rows, "name string, note string, n long").coalesce(1), str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("*.csv")
+    assert file.read_bytes().startswith(b"\xef\xbb\xbfname,note,n")
+    got = archives.read_csv(spark, str(tmp_path / "out"), "name string, note string, n long").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+    (tmp_path / "plain.csv").write_text("name,n\nа,1\n", encoding="utf-8")
+    (tmp_path / "marked.csv").write_text("name,n\nб,2\n", encoding="utf-8-sig")
+    assert sorted(map(tuple, archives.read_csv(spark, str(tmp_path / "*.csv"), "name string, n long").collect())) == [("а", 1), ("б", 2)]
+
+
+def test_guards(spark):
+    df = spark.createDataFrame([("a", 8), ("b", 8), ("c", None)], "entity string, n int")
+    assert audit.require_features(["x", "y"], 2) == ["x", "y"]
+    for bad in (["x"], ["x", "x"]):
+        with pytest.raises(ValueError, match="2 features expected"):
+            audit.require_features(bad, 2)
+    assert audit.one_match(df.where("entity = 'a'")).first().n == 8
+    for where in ("entity = 'z'", "n = 8"):
+        with pytest.raises(ValueError, match="one row expected"):
+            audit.one_match(df.where(where))
+    assert audit.expected_value(df.where("n = 8"), "n", 8).count() == 2
+    with pytest.raises(Exception, match="n: 8 expected, found NULL"):
+        audit.expected_value(df, "n", 8).collect()
+    labels = df.select("entity")
+    assert audit.aligned(labels, df).count() == 3
+    for other, what in ((labels.where("entity <> 'a'"), "1 entities without"), (labels.unionByName(labels.limit(1)), "1 with several")):
+        with pytest.raises(ValueError, match=what):
+            audit.aligned(other, df)
+
+
+def test_both_lists_of_income_names():
+    cols = ["share_food", "log_income", "wage_mean", "urov_2020", "Доход", "зарплата", "dohod"]
+    assert names.without_income(cols) == ["share_food", "urov_2020", "Доход"] and names.without_income(cols, names.INCOME_PARTS_OTHER) == ["share_food", "wage_mean", "dohod"]
+
+
+def test_plain_text_and_table_cells(spark):
+    text = "## A **b** `c` ![pic](x.png) [link](http://y) --- \\(\\lambda_₁ \\approx 2$\\) &lt;z&gt; ∈"
+    df = spark.createDataFrame([(text,), (None,), ("",), ("a ## b",)], "t string").select(markup.plain_text(F.col("t")).alias("p"))
+    assert [r.p for r in df.collect()] == ["A b c [рис.: pic] link  λ_1 ≈ 2 <z> in", None, "", "a ## b"]
+    lines = spark.createDataFrame([("| a | b|c |",), ("|---|---|",), ("one",), (None,)], "t string").select(markup.table_cells(F.col("t")).alias("c"))
+    assert [r.c for r in lines.collect()] == [["a", "b", "c"], None, ["one"], None]
+
+
+def test_directions_and_seasonality(spark):
+    rows = [("e", f, v, 1.0) for f in ("up", "down", "none") for v in (0.0, 1.0, 2.0)]
+    got = [r.direction for r in audit.directions(spark.createDataFrame(rows, "entity string, feature string, value double, median double"), {"up": 1, "down": -1}).collect()]
+    assert got == ["away", "away", "toward", "toward", "toward", "away", "neutral", "neutral", "neutral"]
+    panel_rows = [("e", "c", v) for v in (1.0, 2.0, 3.0)] + [("e", "d", 9.0), ("f", "c", None), ("g", "c", 1.0), ("g", "c", -1.0)]
+    got = {r.entity: r for r in audit.seasonality(spark.createDataFrame(panel_rows, "entity string, category string, value double"), "c").collect()}
+    assert set(got) == {"e", "g"} and got["e"].cv == pytest.approx(np.std([1, 2, 3]) / 2) and got["g"].cv is None
+
+
+def test_events_with_metrics(spark):
+    events = spark.createDataFrame([("a", 1, 2, 0, 1), ("b", 2, 9, 1, 0)], "entity string, from_window int, to_window int, from_label int, to_label int")
+    windows = spark.createDataFrame([(1, 3.0, 0.5, 2), (2, 4.0, 0.6, 3)], "window int, pr_plus double, frustration double, n_communities int")
+    agree = spark.createDataFrame([(1, 2, 0.9)], "from_window int, to_window int, ari double")
+    got = {r.entity: r for r in dynamics.events_with_metrics(events, windows, agree).collect()}
+    assert got["a"].pr_plus_from == 3.0 and got["a"].pr_plus_to == 4.0 and got["a"].ari == 0.9
+    assert got["b"].pr_plus_from == 4.0 and got["b"].pr_plus_to is None and got["b"].ari is None
+
+
+def test_imputed_and_residual_targets(spark):
+    rows = [(i, float(i), 2.0 * i + 1 if i % 2 else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "id int, a double, y double")
+    got = {r.id: r.y_q for r in audit.quantile_imputed(df, "y").collect()}
+    assert got[1] == 3.0 and got[2] == pytest.approx(np.quantile([3.0, 7.0, 11.0, 15.0], 0.75))
+    assert all(r.y_residual == pytest.approx(0, abs=1e-9) for r in audit.residual(df, "y", "a").where("y IS NOT NULL").collect())
+
+
 def test_saved_labels(spark, tmp_path):
     people = spark.createDataFrame([("a",), ("b",)], "entity string")
     again = lambda: people.withColumn("label", F.lit(9))
