@@ -269,7 +269,9 @@ def test_louvain_finds_planted_groups(spark):
     assert q > 0.5 and one == pytest.approx(0, abs=1e-9)
 
 
-def test_parallel_louvain_is_as_good(spark):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_parallel_louvain_is_as_good(spark, monkeypatch, small):
+    monkeypatch.setattr(cluster, "SMALL_GRAPH", small)
     rng = np.random.default_rng(4)
     edges = [(a, b) for a, b in itertools.combinations(range(50), 2) if rng.random() < (0.6 if a // 10 == b // 10 else 0.03)]
     v, e = spark.createDataFrame([(i,) for i in range(51)], "id long"), spark.createDataFrame(edges, "src long, dst long")
