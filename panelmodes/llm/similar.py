@@ -26,10 +26,16 @@ def _close(fields: Sequence[int], tol: Sequence[int], a: str, b: str) -> Column:
     return out
 
 
+def shuffled(seed: int, key: Column) -> Column:
+    """LONG that orders keys as good as at random: sixty bits of a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 class BoxClusters:
     """Clustering of ``df`` by numeric fields with a tolerance for each.
 
-    ``key`` must be unique; a record without one is left out. Records with NULL, NaN, infinite or beyond-nine-billion fields can't be compared and are left out. Exact copies
+    ``key`` must be unique; a record without one is left out. A field that is NULL, NaN or beyond nine billion in size (which billionths can't hold) is unknown: records with such
+    fields found no cluster, but ``everyone`` gives them one by the fields they have. Exact copies
     are collapsed to one weighted point first and expanded at the end, so copies cost nothing. A grid as wide as the
     tolerances makes all points of a cell similar to each other: one point per cell can become a pivot in a round, and a point meets
     at most the candidates of its own and the 3^k - 1 neighbouring cells. Work per round is linear in the points, however dense they lie;
@@ -44,7 +50,8 @@ class BoxClusters:
         real = F.col("id").isNotNull()
         for i, c in enumerate(self.names):
             real = real & F.col(f"x{i}").isNotNull()
-        self.records = cut(df.select(F.col(key).cast("long").alias("id"), *grid).where(real))
+        every = cut(df.select(F.col(key).cast("long").alias("id"), *grid).where("id IS NOT NULL"))
+        self.records, self.partial = every.where(real), every.where(~real)
         self.points = cut(self._points())
         self.assigned = self._cluster()
 
@@ -54,7 +61,7 @@ class BoxClusters:
     def _points(self) -> DataFrame:
         xs = [f"x{i}" for i in self.at]
         one = self.records.groupBy(*xs).agg(F.min("id").alias("id"), F.count("*").alias("weight"))
-        return one.select("id", "weight", F.xxhash64(F.lit(self.seed), "id").alias("h"), *xs, *self._cells())
+        return one.select("id", "weight", shuffled(self.seed, F.col("id")).alias("h"), *xs, *self._cells())
 
     def _probes(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Every row once for each cell that can hold a neighbour; its coordinates as p0, p1, ..."""
@@ -96,6 +103,36 @@ class BoxClusters:
         names = self.assigned.groupBy("pivot").agg(F.min("id").alias("cluster"))
         return self.records.join(self.assigned.join(names, "pivot").select(*xs, "cluster"), xs).select("id", "cluster")
 
+    def everyone(self) -> DataFrame:
+        """(id, cluster, compared): ``members``, and every other record: with the cluster whose pivot, the first in hash order of its own or a neighbouring cell of the known fields, is similar in
+        all of them (the closest of these), else in a cluster of its own.
+
+        Pivots are looked up once for each set of known fields that occurs, one for each cell, so this is linear too.
+        """
+        known = F.array_compact(F.array(*(F.when(F.col(f"x{i}").isNotNull(), F.lit(i)) for i in self.at)))
+        kinds = [r.known for r in self.partial.select(known.alias("known")).distinct().collect()]  # at most 2 to the number of fields
+        names = self.assigned.groupBy("pivot").agg(F.min("id").alias("cluster"))
+        pivots = self.assigned.where("id = pivot").select("pivot", "h", *[f"x{i}" for i in self.at], *[f"c{i}" for i in self.at]).join(names, "pivot")
+        out = self.members().select("id", "cluster", F.lit(True).alias("compared"))
+        for have in kinds:
+            rows = self.partial.where(known == F.array(*map(F.lit, have)) if have else F.size(known) == 0)
+            found = None
+            if have:
+                cell = [f"c{i}" for i in have]
+                first = pivots.groupBy(*cell).agg(F.min(F.struct("h", "pivot", *[F.col(f"x{i}").alias(f"p{i}") for i in have], "cluster")).alias("f"))
+                steps = F.array(*(F.struct(*(F.lit(d).cast("long").alias(f"d{i}") for i, d in zip(have, o))) for o in product((-1, 0, 1), repeat=len(have))))
+                cells = self._cells()
+                near = rows.select("id", *[f"x{i}" for i in have], *[cells[i] for i in have]).withColumn("step", F.explode(steps))
+                near = near.select("id", *[f"x{i}" for i in have], *[(F.col(f"c{i}") + F.col(f"step.d{i}")).alias(f"c{i}") for i in have])
+                met = near.join(first, cell).select("id", *[f"x{i}" for i in have], "f.*").where(_close(have, self.tol, "x", "p"))
+                away = F.lit(0.0)
+                for i in have:
+                    away = away + F.abs(F.col(f"x{i}") - F.col(f"p{i}")) / float(self.tol[i])
+                found = met.groupBy("id").agg(F.min(F.struct(away.alias("away"), "h", "cluster")).alias("b")).select("id", F.col("b.cluster").alias("cluster"))
+            placed = rows.select("id").join(found, "id", "left") if found is not None else rows.select("id", F.lit(None).cast("long").alias("cluster"))
+            out = out.unionByName(placed.select("id", F.coalesce("cluster", "id").alias("cluster"), F.lit(False).alias("compared")))
+        return out
+
     def medoids(self, most: int = 3) -> DataFrame:
         """(cluster, size, typical ARRAY of ids, spread): size in records, the ``most`` points with the least mean distance, and that least mean.
 

@@ -232,12 +232,15 @@ def visual_forms(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return documents.select(F.col(key).alias(key), F.col(text).alias("text"), _forms(F.col(text)).alias("form"))
 
 
+CHUNK = 2_000  # documents of one spelling that meet another's in one key
+
+
 def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b): pairs that look the same but are stored differently, a < b.
 
     Only hashes of 256 bits are shuffled. Rows are first grouped by stored text; pairs are formed between the different
     spellings of a form and then expanded to their documents, so that equal copies are never compared with each other.
-    NULL ids, NULL and empty texts are left out, also texts of which nothing is visible.
+    NULL ids, NULL and empty texts are left out, also texts of which nothing is visible. The rows are as many as the pairs; ``look_alike_classes`` says the same in a row per document.
     """
     forms = visual_forms(documents, key, text).where(F.col(key).isNotNull() & F.expr("text IS NOT NULL AND text <> '' AND form <> ''"))
     hashed = forms.select(F.col(key).alias("id"), F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("raw"))
@@ -245,12 +248,13 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     spellings = hashed.select("form", "raw").distinct()
     several = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     members = cut(hashed.join(several, "form", "left_semi"))
-    spelled = members.select("form", "raw").distinct()
-    other = spelled.select("form", F.col("raw").alias("raw_b"))
-    both = spelled.withColumnRenamed("raw", "raw_a").join(other, "form").where("raw_a < raw_b")
-    one = members.select("form", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
-    two = members.select("form", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
-    pairs = both.join(one, ["form", "raw_a"]).join(two, ["form", "raw_b"])
+    # A spelling of very many documents is parted, so that no task forms more than CHUNK squared pairs of one key.
+    spelled = cut(members.groupBy("form", "raw").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")))
+    parted = cut(members.join(spelled, ["form", "raw"]).select("form", "raw", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id"))
+    side = lambda s: spelled.select("form", F.col("raw").alias(f"raw_{s}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(f"part_{s}"))
+    both = side("a").join(side("b"), "form").where("raw_a < raw_b")
+    ids = lambda s: parted.select("form", F.col("raw").alias(f"raw_{s}"), F.col("part").alias(f"part_{s}"), F.col("id").alias(s))
+    pairs = both.join(ids("a"), ["form", "raw_a", "part_a"]).join(ids("b"), ["form", "raw_b", "part_b"]).select(F.col("a").alias("x"), F.col("b").alias("y"))
     return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 

@@ -77,6 +77,22 @@ def test_clusters_are_a_partition_around_pivots(spark):
         assert mean[r.typical[0]] == pytest.approx(min(mean.values()), abs=1e-6)
 
 
+def test_records_of_unknown_fields_join_by_the_others(spark):
+    rows = [r for r in profiles(2) if r[0] < 20_000]
+    base = rows[5]
+    odd = [(30_000, base[1], base[2], None), (30_001, base[1], None, None), (30_002, 99.0, 99.0, float("nan")), (30_003, None, None, None), (None, *base[1:]), (30_004, 1e12, base[2], base[3])]
+    c = similar.BoxClusters(spark.createDataFrame([*rows, *odd], SCHEMA).withColumn("cluster", F.lit("clash")), "feat", TOL)
+    got = {r.id: r for r in c.everyone().collect()}
+    assert len(got) == len(rows) + 5 and all(got[r[0]].compared for r in rows) and not any(got[i].compared for i in range(30_000, 30_005))
+    by = {r[0]: r for r in rows}
+    pivots = {r.id: r.pivot for r in c.assigned.collect()}
+    of = {got[i].cluster: by[p] for i, p in pivots.items()}
+    near_in = lambda i, k: abs(of[got[i].cluster][k] - base[k]) <= list(TOL.values())[k - 1] + 1e-9
+    assert near_in(30_000, 1) and near_in(30_000, 2) and near_in(30_001, 1) and near_in(30_004, 2) and near_in(30_004, 3)
+    assert got[30_002].cluster == 30_002 and got[30_003].cluster == 30_003
+    assert {r.id for r in c.members().collect()} == {r[0] for r in rows}
+
+
 def test_clusters_of_nothing(spark):
     c = similar.BoxClusters(spark.createDataFrame([], SCHEMA), "feat", TOL)
     assert c.members().count() == 0 and c.isolated().count() == 0 and c.medoids().count() == 0
@@ -424,6 +440,13 @@ def test_pairs_match_brute_force(spark):
     assert visual.look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_hot_spellings_are_parted(spark, monkeypatch):
+    monkeypatch.setattr(visual, "CHUNK", 7)
+    rows = [(i, "copy") for i in range(50)] + [(100 + i, "cоpy") for i in range(30)] + [(200, "соpy"), (201, "other")]
+    got = sorted(map(tuple, visual.look_alike_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert len(got) == 50 * 30 + 80 and len(set(got)) == len(got) and all(a < b for a, b in got)
+
+
 def test_very_long_text(spark):
     text = "Бюджет здоровья " * 60_000
     df = spark.createDataFrame([(1, text), (2, text.replace("о", "o"))], "doc_id long, text string")
