@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmodes.config import Params
-from panelmodes.operators import cluster, linalg, plm, validity
+from panelmodes.operators import linalg, near, plm, validity
 
 
 def window_modes(features: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
@@ -19,35 +19,32 @@ def window_modes(features: DataFrame, columns: Sequence[str], p: Params) -> Data
     return plm.spectrum(plm.couplings(linalg.binarize(z, columns), columns, p.c_reg, ["window"]), ["window"])
 
 
+def communities_of_window(group: pd.DataFrame, p: Params) -> pd.DataFrame:
+    """(window, entity, label) of one window's rows (window, entity, x, v): ``v`` holds the leading modes' loadings one after the other. Memory grows with the entities only."""
+    group = group.sort_values("entity", ignore_index=True)
+    x = np.vstack(group["x"].to_list())
+    u = x @ np.asarray(group["v"].iloc[0]).reshape(-1, x.shape[1]).T
+    graph = near.Near(u)
+    got = near.communities(graph, graph.quantile(p.window_eps), p.resolution)
+    _, first, lab, sizes = np.unique(got, return_index=True, return_inverse=True, return_counts=True)
+    order = np.lexsort((first, -sizes))
+    name = np.empty(len(order), dtype=np.int64)
+    name[order] = np.minimum(np.arange(len(order)), int((sizes >= p.min_community).sum()))
+    return pd.DataFrame({"window": group["window"].iloc[0], "entity": group["entity"], "label": name[lab]})
+
+
 def window_communities(features: DataFrame, modes: DataFrame, columns: Sequence[str], p: Params) -> DataFrame:
     """(window, entity, label): communities of each window's neighbourhood graph on the leading modes.
 
-    A window's graph, quadratic by definition, is one group; its entities have to fit a worker. Communities are ranked by size; those below
+    A window is one group and one task, whose entities have to fit a worker; its graph, quadratic by definition, is never stored. Communities are ranked by size; those below
     the least size become one label after the others.
     """
     k = p.graph_modes
     z = linalg.zscore(features, columns, ["window"])
     lead = modes.where(F.col("mode") <= k).groupBy("window").agg(F.flatten(F.sort_array(F.collect_list(F.struct("mode", "loadings")))["loadings"]).alias("v"))
     rows = z.select("window", F.col("entity").cast("string").alias("entity"), F.array(*[F.col(c) for c in columns]).alias("x")).join(lead, "window")
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("entity", ignore_index=True)
-        x = np.vstack(group["x"].to_list())
-        u = x @ np.asarray(group["v"].iloc[0]).reshape(-1, x.shape[1]).T
-        d = np.sqrt(((u[:, None, :] - u[None, :, :]) ** 2).sum(2))
-        positive = d[d > 0]
-        eps = np.quantile(positive, p.window_eps) if len(positive) else 0.0
-        i, j = np.nonzero(np.triu(d < eps, 1))
-        got = cluster.louvain_labels(i.tolist(), j.tolist(), range(len(x)), p.resolution)
-        lab = pd.Series([got[v] for v in range(len(x))])
-        sizes = lab.value_counts()
-        firsts = {c: int(lab.index[lab == c][0]) for c in sizes.index}
-        order = sorted(sizes.index, key=lambda c: (-sizes[c], firsts[c]))
-        big = [c for c in order if sizes[c] >= p.min_community]
-        name = {c: big.index(c) if c in big else len(big) for c in order}
-        return pd.DataFrame({"window": group["window"].iloc[0], "entity": group["entity"], "label": [name[c] for c in lab]})
-
-    return rows.groupBy("window").applyInPandas(solve, "window int, entity string, label int")
+    spread = rows.repartitionByRange(max(1, lead.count()), "window")  # else small windows, which are long work, are put into one task
+    return spread.groupBy("window").applyInPandas(lambda group: communities_of_window(group, p), "window int, entity string, label int")
 
 
 def window_summary(features: DataFrame, modes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 import datetime as dt
 import io
 import itertools
+import tracemalloc
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelmodes.config import MONTHLY, Params
 from panelmodes.functions import markup, names
-from panelmodes.operators import audit, cluster, dynamics, linalg, panel, plm, stability, validity
+from panelmodes.operators import audit, cluster, dynamics, linalg, near, panel, plm, stability, validity
 from panelmodes.sources import archives, labels
 from panelmodes.streaming import panel_stream
 
@@ -597,3 +599,48 @@ def test_headline_reads_the_community_trajectories(spark):
     assert got.switchers == pytest.approx(sum(seen.values()) / len(seen))
     aris = [r.ari for r in core.trajectory_ari(spark, folder).collect()]
     assert got.mean_window_ari == pytest.approx(sum(aris) / len(aris))
+
+
+# --- graphs whose edges are never stored -------------------------------------------------------------------------
+
+
+def listed_communities(u, q, resolution):
+    """ε and communities from the matrix of all distances."""
+    d = np.sqrt(((u[:, None, :] - u[None, :, :]) ** 2).sum(2))
+    eps = np.quantile(d[d > 0], q) if (d > 0).any() else 0.0
+    i, j = np.nonzero(np.triu(d < eps, 1))
+    got = cluster.louvain_labels(i.tolist(), j.tolist(), range(len(u)), resolution)
+    return eps, [got[v] for v in range(len(u))]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_unlisted_graph_has_the_communities_of_the_listed_one(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    n, q, resolution = int(rng.integers(2, 240)), (0.3, 0.15, 0.02, 0.4)[seed % 4], (0.5, 1.0, 3.0)[seed % 3]
+    u = rng.standard_normal((n, 1 + seed % 5)) * 10.0 ** rng.integers(-3, 3)
+    if seed % 3 == 0:
+        u = u[rng.integers(0, max(1, n // 5), n)]  # exact copies
+    if seed % 4 == 0:
+        u = np.round(u, 1)  # many equal distances, some of them ε
+    if seed % 5 == 0:
+        u[0] = np.nan
+    eps, want = listed_communities(u, q, resolution)
+    graph = near.Near(u)
+    assert graph.quantile(q) == graph.quantile(q, drawn=50) == eps
+    assert near.communities(graph, eps, resolution).tolist() == want
+    for most in (32 << 20, 2 * n):  # rows by sevens, then without room for counts
+        monkeypatch.setattr(near, "ROWS", 7 * n)
+        monkeypatch.setattr(near, "COUNTS", most)
+        assert near.communities(graph, eps, resolution).tolist() == want
+
+
+def test_window_of_many_entities_needs_no_matrix_of_its_pairs():
+    rng = np.random.default_rng(3)
+    n, p = 5000, Params(min_community=3)
+    x = rng.standard_normal((n, 5)) + (np.arange(n) % 2)[:, None] * 3
+    group = pd.DataFrame({"window": 1, "entity": [f"{i:05d}" for i in range(n)], "x": list(x), "v": [np.eye(5).ravel()] * n})
+    tracemalloc.start()
+    got = dynamics.communities_of_window(group, p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n * 8 and got["label"].nunique() > 1  # one number a pair would be more
