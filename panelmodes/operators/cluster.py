@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmodes.operators import near
 from panelmodes.operators.linalg import distance_quantiles, exact_median, spanning_edges
 from panelmodes.session import cut, written
 
@@ -264,6 +265,22 @@ def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 0.5, by:
     return ranked_by_size(rows.groupBy(*(keys or [F.lit(1).alias("_all")])).applyInPandas(solve, schema), keys)
 
 
+def louvain_of_points(points: DataFrame, grid: Sequence[float], resolution: float = 0.5) -> DataFrame:
+    """(id, label): communities of the neighbourhood graph of (id, x) under the ε of ``connected_eps``, as ``louvain`` gives for its edges; labels ranked by size.
+
+    The points are one group that fits a worker. Their edges, a share of all pairs, are never listed.
+    """
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        graph = near.Near(np.vstack(group["x"].to_list()))
+        _, eps = near.connected_eps(graph, grid)
+        return pd.DataFrame({"id": group["id"], "label": near.communities(graph, eps, resolution)})
+
+    rows = points.where("x IS NOT NULL").select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    return ranked_by_size(cut(rows.groupBy(F.lit(1).alias("_all")).applyInPandas(solve, "id long, label int")))
+
+
 def modularity(labels: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(modularity) of a labeling of a simple undirected graph."""
     a = labels.select(F.col("id").alias("src"), F.col("label").alias("la"))

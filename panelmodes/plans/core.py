@@ -861,7 +861,7 @@ def pca2(spark: SparkSession, d: str) -> DataFrame:
 def graph_labels(x: DataFrame) -> DataFrame:
     """(id, label): communities of the entities' neighbourhood graph on the leading modes under the chosen ε, small ones merged."""
     u = lead_modes(x, QUARTERLY.graph_modes)
-    return cluster.merge_small(cluster.louvain(u.select("id"), _graph(u), QUARTERLY.resolution), QUARTERLY.min_community)
+    return cluster.merge_small(cluster.louvain_of_points(u, QUARTERLY.eps_grid, QUARTERLY.resolution), QUARTERLY.min_community)
 
 
 @query()

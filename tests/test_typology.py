@@ -644,3 +644,14 @@ def test_window_of_many_entities_needs_no_matrix_of_its_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < n * n * 8 and got["label"].nunique() > 1  # one number a pair would be more
+
+
+def test_communities_of_points_are_those_of_their_edges(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.standard_normal((60, 5)), rng.standard_normal((50, 5)) + 4])
+    pts = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(rng.permutation(110) * 3, x)], "id long, x array<double>").localCheckpoint()
+    grid = (0.15, 0.2, 0.3, 0.4)
+    _, eps = cluster.connected_eps(pts, grid)
+    edges = linalg.edges_below(pts, "id", "x", eps).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    want = {r.id: r.label for r in cluster.louvain(pts.select("id"), edges, 0.5).collect()}
+    assert {r.id: r.label for r in cluster.louvain_of_points(pts, grid, 0.5).collect()} == want
