@@ -76,6 +76,11 @@ def row_normalised(columns: Sequence[str]) -> dict[str, Column]:
     return {c: F.col(c) / (F.sqrt(norm) + 1e-12) for c in columns}
 
 
+def block_size(df: DataFrame, most: int = 2048) -> int:
+    """Rows of a block for sums over pairs: a row leaves each pair of blocks a point is in, so many points take blocks of up to ``most`` rows, whose distances are 32 MB."""
+    return min(most, max(BLOCK, df.count() // 24))
+
+
 def blocks(df: DataFrame, key: str, vector: str, label: str | None = None, size: int = BLOCK) -> DataFrame:
     """Rows (key LONG, vector ARRAY, label) gathered by hash into blocks of about ``size``: (block, last, ids, xs, labels). Rows without vector are left out."""
     rows = df.where(F.col(vector).isNotNull())

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmodes.operators.linalg import blocks, over_pairs
+from panelmodes.operators.linalg import block_size, blocks, over_pairs
 from panelmodes.session import cut
 
 
@@ -39,15 +39,16 @@ def distance_sums(points: DataFrame) -> DataFrame:
     def kernel(a, la, b, lb, d, same):  # noqa: ANN001, ANN202
         out = []
         for ids, own, others, m in ((a, la, lb, d), *(() if same else ((b, lb, la, d.T),))):
-            for k in np.unique(others):
-                at = others == k
-                n = np.full(len(ids), int(at.sum()))
-                if same:
-                    n = n - (own == k)
-                out.append(pd.DataFrame({"id": ids, "label": own, "other": int(k), "total": m[:, at].sum(1), "n": n}))
+            labels, at = np.unique(others, return_inverse=True)
+            hot = (at[:, None] == np.arange(len(labels))[None, :]).astype(float)
+            n = np.tile(hot.sum(0).astype(np.int64), (len(ids), 1))
+            if same:
+                n -= own[:, None] == labels[None, :]
+            k = len(labels)
+            out.append(pd.DataFrame({"id": np.repeat(ids, k), "label": np.repeat(own, k), "other": np.tile(labels, len(ids)), "total": (m @ hot).ravel(), "n": n.ravel()}))
         return pd.concat(out)
 
-    parts = over_pairs(blocks(points, "id", "x", "label"), kernel, "id long, label int, other int, total double, n long")
+    parts = over_pairs(blocks(points, "id", "x", "label", block_size(points)), kernel, "id long, label int, other int, total double, n long")
     return parts.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

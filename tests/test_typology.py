@@ -655,3 +655,15 @@ def test_communities_of_points_are_those_of_their_edges(spark):
     edges = linalg.edges_below(pts, "id", "x", eps).select(F.col("i").alias("src"), F.col("j").alias("dst"))
     want = {r.id: r.label for r in cluster.louvain(pts.select("id"), edges, 0.5).collect()}
     assert {r.id: r.label for r in cluster.louvain_of_points(pts, grid, 0.5).collect()} == want
+
+
+def test_sums_of_distances_leave_a_row_for_a_large_block(spark):
+    rng = np.random.default_rng(9)
+    x, lab = rng.standard_normal((130, 3)), rng.integers(0, 3, 130)
+    pts = spark.createDataFrame([(i, int(k), [float(v) for v in r]) for i, (k, r) in enumerate(zip(lab, x))], "id long, label int, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for r in validity.distance_sums(pts).collect():
+        at = (lab == r.other) & (np.arange(130) != r.id)
+        assert r.total == pytest.approx(d[r.id, at].sum()) and r.n == at.sum()
+    many = spark.range(30_000).withColumn("x", F.array(F.col("id").cast("double")))
+    assert linalg.block_size(many) == 1250 and linalg.block_size(pts) == linalg.BLOCK
