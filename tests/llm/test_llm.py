@@ -219,6 +219,14 @@ def test_crowded_buckets_are_split(spark):
     assert len(whole) == 3601 and split < whole and {(i, i) for i in range(60)} <= split and (99, 99) in split
 
 
+def test_no_pair_of_a_full_bucket_is_left_out(spark):
+    rows = [(side, i + 1000 * side, 1, i % 4096) for side in (0, 1) for i in range(330)] + [(0, 7, 2, 1), (1, 1007, 2, 9)]
+    spots = spark.createDataFrame(rows, "side int, nid long, bucket long, deep long")
+    for part in (match.PART, 1000):
+        got = [(r.bucket, r.m, r.a) for r in match.shared_buckets(spots, part=part).collect()]
+        assert len(got) == len(set(got)) == 330 * 330 + 1 and (2, 7, 1007) in got
+
+
 def test_matching_of_nothing(spark):
     cards, areas = spark.createDataFrame([], CARDS), spark.createDataFrame([], AREAS)
     assert match.Matching(cards, areas, sdd(spark)).matches().count() == 0
