@@ -50,12 +50,12 @@ def poisson_weights(placed: DataFrame, reps: int) -> DataFrame:
 
 def labels_by_group(binary: DataFrame, x: DataFrame, columns: Sequence[str], by: str, c: float, weight: str | None = None) -> DataFrame:
     """(``by``, entity, u1, label, weight) of median splits along each group's leading mode. ``binary`` and ``x`` hold every group's rows (``by``, entity, columns, weight)."""
-    modes = plm.spectrum(plm.couplings(binary, columns, c, [by], weight), [by]).where("mode = 1").select(by, "loadings")
+    modes = cut(plm.spectrum(plm.couplings(binary, columns, c, [by], weight), [by]).where("mode = 1").select(by, "loadings"))
     vec = F.array(*[F.col(k) for k in columns])
     u = F.aggregate(F.zip_with(vec, "loadings", lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     w = F.col(weight) if weight else F.lit(1)
-    scored = x.join(modes, by).select(by, "entity", u.alias("u1"), w.cast("long").alias("weight"))
-    scored = cut(scored)
+    scored = x.join(F.broadcast(modes), by).select(by, "entity", u.alias("u1"), w.cast("long").alias("weight"))
+    scored = cut(scored)  # the modes were one row a group
     mid = linalg.exact_median(scored, "u1", [by], "_mid", "weight")
     return scored.join(mid, by).select(by, "entity", "u1", (F.col("u1") > F.col("_mid")).cast("int").alias("label"), "weight")
 
@@ -71,7 +71,7 @@ def bootstrap_ari(x: DataFrame, columns: Sequence[str], c: float = 0.2, reps: in
     placed = x.select("entity", *columns) if draws == "poisson" else cut(row_numbers(x.select("entity", *columns), "entity"))
     one = placed.withColumn("all", F.lit(0))
     base = labels_by_group(linalg.binarize(one, columns), one, columns, "all", c).select("entity", F.col("label").alias("base"))
-    drawn = poisson_weights(placed, reps) if draws == "poisson" else placed.join(resamples(spark, placed.count(), reps), "_row")
+    drawn = poisson_weights(placed, reps) if draws == "poisson" else placed.join(resamples(spark, placed.count(), reps).hint("merge"), "_row")  # the planner takes the draws for a few rows and would send them through the driver
     got = labels_by_group(linalg.binarize(drawn, columns), drawn, columns, "rep", c, "weight")
     table = validity.contingency(got.join(base, "entity"), "label", "base", ["rep"], "weight")
     return validity.adjusted_rand(table, ["rep"])

@@ -720,8 +720,8 @@ def creg_sweep(spark: SparkSession, d: str) -> DataFrame:
     return stability.regularisation_sweep(cut(panels.scaled_l(spark, d)), FEATURES, QUARTERLY.c_grid, QUARTERLY.c_reg)
 
 
-def _dynamics(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    f = cut(panels.window_features_l(spark, d))
+def _dynamics(spark: SparkSession, d: str, wide: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    f = cut(panels.window_features_l(spark, d, wide))
     modes = cut(dynamics.window_modes(f, WINDOW_FEATURES, QUARTERLY))
     return f, modes, cut(dynamics.window_communities(f, modes, WINDOW_FEATURES, QUARTERLY))
 
@@ -910,12 +910,14 @@ def sensitivity(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def headline(spark: SparkSession, d: str) -> DataFrame:
     """One row: leading eigenvalue and its share, bootstrap mean and deviation, share of switching entities among those in every window, mean agreement of neighbouring windows."""
-    m = plm.spectral_metrics(_spectrum(spark, d)).select("lambda_max", "top_share", "pr_plus", "frustration")
-    b = bootstrap_ari(spark, d).agg(F.avg("ari").alias("bootstrap_mean"), F.stddev_pop("ari").alias("bootstrap_std"))
-    labels = _dynamics(spark, d)[2]
+    wide = cut(panels.long_wide_l(spark, d))  # the lines are joined and summed once for all parts
+    x = cut(linalg.zscore(cut(panels.features_l(spark, d, wide)), FEATURES))
+    m = cut(plm.spectral_metrics(plm.spectrum(plm.couplings(linalg.binarize(x, FEATURES), FEATURES, QUARTERLY.c_reg))).select("lambda_max", "top_share", "pr_plus", "frustration"))
+    b = cut(stability.bootstrap_ari(x, FEATURES, QUARTERLY.c_reg, QUARTERLY.bootstrap).agg(F.avg("ari").alias("bootstrap_mean"), F.stddev_pop("ari").alias("bootstrap_std")))
+    labels = _dynamics(spark, d, wide.repartition("entity"))[2]  # rows meet by entity before windows multiply them
     kept = labels.join(panel.in_all_windows(labels), "entity", "left_semi")
-    s = dynamics.switch_counts(kept).agg(F.avg((F.col("n_switches") > 0).cast("double")).alias("switchers"))
-    w = dynamics.consecutive_ari(labels).agg(F.avg("ari").alias("mean_window_ari"))
+    s = cut(dynamics.switch_counts(kept).agg(F.avg((F.col("n_switches") > 0).cast("double")).alias("switchers")))
+    w = cut(dynamics.consecutive_ari(labels).agg(F.avg("ari").alias("mean_window_ari")))
     return m.join(F.broadcast(b)).join(F.broadcast(s)).join(F.broadcast(w))
 
 

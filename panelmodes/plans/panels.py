@@ -17,9 +17,10 @@ WINDOW_FEATURES = (*(f"share_{c}" for c in CATS), "log_total", *(f"growth_share_
 
 def panel_l(spark: SparkSession, d: str) -> DataFrame:
     """Supplier x quarter x part type: shipped value, with a total row over all types."""
-    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_extendedprice")
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.trunc("l_shipdate", "quarter").alias("period"), "l_extendedprice")
     parts = table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("category"))
-    cells = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("entity"), F.trunc("l_shipdate", "quarter").alias("period"), "category").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    cells = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("entity"), "period", "category").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"))
+    cells = cells.repartition("entity")  # all that follows groups by entity and more; an entity has a cell per period and category at most
     # The total is one more grouping of the same cells, so the join and the first aggregate run once.
     both = cells.select("entity", "period", F.explode(F.array("category", F.lit(TOTAL))).alias("category"), "value")
     return both.groupBy("entity", "period", "category").agg(F.round(F.sum("value"), 2).alias("value"))
@@ -39,8 +40,9 @@ def index_l(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("l_suppkey").alias("entity"), F.trunc("l_shipdate", "year").alias("period")).agg(F.sum("l_quantity").alias("value"))
 
 
-def features_l(spark: SparkSession, d: str) -> DataFrame:
-    static = panel.static_features(long_wide_l(spark, d), TOTAL, CATS, QUARTERLY)
+def features_l(spark: SparkSession, d: str, wide: DataFrame | None = None) -> DataFrame:
+    """``wide`` is the panel of ``long_wide_l`` where the caller holds it."""
+    static = panel.static_features(long_wide_l(spark, d) if wide is None else wide, TOTAL, CATS, QUARTERLY)
     return panel.join_index(static, panel.two_period_logratio(index_l(spark, d))).select("entity", *FEATURES)
 
 
@@ -48,8 +50,8 @@ def scaled_l(spark: SparkSession, d: str) -> DataFrame:
     return linalg.zscore(features_l(spark, d), FEATURES)
 
 
-def window_features_l(spark: SparkSession, d: str) -> DataFrame:
-    return panel.window_features(panel.assign_windows(long_wide_l(spark, d), QUARTERLY.window_length), TOTAL, CATS, QUARTERLY)
+def window_features_l(spark: SparkSession, d: str, wide: DataFrame | None = None) -> DataFrame:
+    return panel.window_features(panel.assign_windows(long_wide_l(spark, d) if wide is None else wide, QUARTERLY.window_length), TOTAL, CATS, QUARTERLY)
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:

@@ -601,6 +601,28 @@ def test_headline_reads_the_community_trajectories(spark):
     assert got.mean_window_ari == pytest.approx(sum(aris) / len(aris))
 
 
+def test_headline_joins_the_lines_once(spark, monkeypatch):
+    from panelmodes.plans import core, panels
+
+    folder, read, whole = "/root/testdata/sf0.01", [], panels.panel_l
+    monkeypatch.setattr(panels, "panel_l", lambda *a: read.append(a) or whole(*a))
+    got = core.headline(spark, folder).first()
+    assert len(read) == 1
+    m, aris = core.spectral_metrics(spark, folder).first(), [r.ari for r in core.bootstrap_ari(spark, folder).collect()]
+    assert [got[c] for c in ("lambda_max", "top_share", "pr_plus", "frustration")] == pytest.approx([m[c] for c in ("lambda_max", "top_share", "pr_plus", "frustration")])
+    assert len(aris) == 100 and (got.bootstrap_mean, got.bootstrap_std) == (pytest.approx(np.mean(aris)), pytest.approx(np.std(aris)))
+
+
+def test_draws_of_the_bootstrap_are_never_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, *(float(v) for v in rng.standard_normal(3))) for i in range(40)], "entity long, a double, b double, c double")
+    given, whole = [], stability.labels_by_group
+    monkeypatch.setattr(stability, "labels_by_group", lambda binary, x, *a: given.append(x) or whole(binary, x, *a))
+    assert stability.bootstrap_ari(rows, ["a", "b", "c"], 0.2, 5).count() == 5
+    plan = given[1]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Broadcast" not in plan
+
+
 # --- graphs whose edges are never stored -------------------------------------------------------------------------
 
 
