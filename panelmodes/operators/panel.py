@@ -86,7 +86,7 @@ def assign_windows(wide: DataFrame, length: int) -> DataFrame:
     rows = placed.join(F.broadcast(bounds)).where(F.col("last") >= length - 1)
     each = rows.withColumn("w", F.explode(F.sequence(F.greatest(F.col("m") - (length - 1), F.lit(0)), F.least("m", F.col("last") - (length - 1)))))
     each = each.select("period", (F.col("w") + 1).alias("window"), F.element_at("all", F.col("w") + 1).alias("window_start"), F.element_at("all", F.col("w") + length).alias("window_end"))
-    return wide.join(each, "period")
+    return wide.join(F.broadcast(each), "period")  # a row per period and window, so rows stay where their entity is
 
 
 def window_features(windowed: DataFrame, total: str, categories: Sequence[str], p: Params) -> DataFrame:

@@ -15,7 +15,7 @@ from panelmodes.functions import dates, markup, names
 from panelmodes.operators import audit, cluster, dynamics, linalg, panel, plm, stability, validity
 from panelmodes.plans import panels
 from panelmodes.plans.panels import CATS, FEATURES, TOTAL, WINDOW_FEATURES
-from panelmodes.session import cut, ensure_checkpoint_dir, table
+from panelmodes.session import cut, ensure_checkpoint_dir, release, table
 from panelmodes.sources import archives
 from panelmodes.streaming import panel_stream
 
@@ -911,9 +911,11 @@ def sensitivity(spark: SparkSession, d: str) -> DataFrame:
 def headline(spark: SparkSession, d: str) -> DataFrame:
     """One row: leading eigenvalue and its share, bootstrap mean and deviation, share of switching entities among those in every window, mean agreement of neighbouring windows."""
     wide = cut(panels.long_wide_l(spark, d))  # the lines are joined and summed once for all parts
+    release(spark)
     x = cut(linalg.zscore(cut(panels.features_l(spark, d, wide)), FEATURES))
     m = cut(plm.spectral_metrics(plm.spectrum(plm.couplings(linalg.binarize(x, FEATURES), FEATURES, QUARTERLY.c_reg))).select("lambda_max", "top_share", "pr_plus", "frustration"))
     b = cut(stability.bootstrap_ari(x, FEATURES, QUARTERLY.c_reg, QUARTERLY.bootstrap).agg(F.avg("ari").alias("bootstrap_mean"), F.stddev_pop("ari").alias("bootstrap_std")))
+    release(spark)
     labels = _dynamics(spark, d, wide.repartition("entity"))[2]  # rows meet by entity before windows multiply them
     kept = labels.join(panel.in_all_windows(labels), "entity", "left_semi")
     s = cut(dynamics.switch_counts(kept).agg(F.avg((F.col("n_switches") > 0).cast("double")).alias("switchers")))

@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import itertools
+import time
 import tracemalloc
 import zipfile
 
@@ -11,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from panelmodes import session
 from panelmodes.config import MONTHLY, Params
 from panelmodes.functions import markup, names
 from panelmodes.operators import audit, cluster, dynamics, linalg, near, panel, plm, stability, validity
@@ -623,6 +625,32 @@ def test_draws_of_the_bootstrap_are_never_broadcast(spark, monkeypatch):
     assert "MapInPandas" in plan and "Broadcast" not in plan
 
 
+def test_windows_leave_rows_where_their_entity_is(spark):
+    wide = spark.createDataFrame([(i % 5, dt.date(2020 + i // 20, 1 + 3 * (i // 5 % 4), 1), float(i)) for i in range(40)], "entity int, period date, total double").repartition("entity")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = panel.assign_windows(wide, 3)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.window, r.n) for r in got.groupBy("window").agg(F.count("*").alias("n")).collect()) == [(w, 15) for w in range(1, 7)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_release_deletes_the_shuffle_files_of_what_is_cut(spark):
+    files = lambda: {x for x in spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    session.release(spark)
+    old = files()
+    kept = session.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() - old
+    session.release(spark)
+    for _ in range(20):
+        if not files() - old:
+            break
+        time.sleep(0.25)
+    assert not files() - old and kept.count() == 7
+
+
 # --- graphs whose edges are never stored -------------------------------------------------------------------------
 
 
